@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from voxframe.llm import q_quality
+from voxframe.llm import q_mixing, q_packing, q_quality
 
-MODULES = (q_quality,)
+MODULES = (q_quality, q_mixing, q_packing)
 
 
 def queries() -> dict:
