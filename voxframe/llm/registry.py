@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from voxframe.llm import q_mixing, q_packing, q_quality
+from voxframe.llm import q_extraction, q_media, q_mixing, q_packing, q_quality, q_secrets
 
-MODULES = (q_quality, q_mixing, q_packing)
+MODULES = (q_quality, q_mixing, q_packing, q_media, q_secrets, q_extraction)
 
 
 def queries() -> dict:
