@@ -17,6 +17,7 @@ other; rows without doc_id are compared with nothing; texts shorter than a windo
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.llm.arrow import slices
-from voxframe.llm.scratch import partitions, stored
+from voxframe.llm.scratch import stored
 from voxframe.llm.words import WIDE, U, Words, chunks, mix, powers, spans_hash
 
 SIZE, COARSE = 13, 64
 RAW_PLANES = 6
+WORD_BYTES, PART_WORDS, BUCKET_WORDS, MESSAGE_WORDS = 6, 700_000, 400_000, 64
 MESSAGE = "bucket int, part long, payload binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, longest long, part long, state binary"
 
@@ -198,14 +200,21 @@ def in_several(w: Windows, inverse: np.ndarray, first: np.ndarray) -> np.ndarray
 # ---- Spark -----------------------------------------------------------------------------------------------------------
 
 
-def dealt(docs: DataFrame) -> DataFrame:
+def layout(docs: DataFrame) -> tuple[list[int], int, int]:
+    """Quantiles of doc_id (COARSE + 1, or none), parts in each, and buckets, from the size of the texts alone. Parts and
+    buckets grow as the root of the corpus once that is large, so a message keeps MESSAGE_WORDS hashes or more."""
+    row = docs.agg(F.percentile_approx("doc_id", [k / COARSE for k in range(COARSE + 1)], 100_000).alias("q"), F.sum(F.octet_length("text")).alias("b")).first()
+    words = (row.b or 0) / WORD_BYTES
+    root = (MESSAGE_WORDS * words) ** 0.5
+    within = math.ceil(words / max(PART_WORDS, root) / COARSE)
+    return list(row.q or []), max(1, within), max(8, math.ceil(words / max(BUCKET_WORDS, root)))
+
+
+def dealt(docs: DataFrame, split: list[int], within: int) -> DataFrame:
     """docs(doc_id, text) with part: ranges of doc_id, from COARSE quantiles and equal ranges of ids within them. Only
     quantiles, a fixed number, come to the driver."""
-    spark = docs.sparkSession
-    split = docs.agg(F.percentile_approx("doc_id", [k / COARSE for k in range(COARSE + 1)], 100_000).alias("q")).first().q
     if not split:
         return docs.withColumn("part", F.lit(0).cast("long"))
-    within = -(-2 * partitions(spark) // COARSE)
     coarse = F.least(F.size(F.filter(F.array(*[F.lit(int(x)) for x in split[1:]]), lambda x: x <= F.col("doc_id"))), F.lit(COARSE - 1))
     low, high = (F.array(*[F.lit(float(x)) for x in s]) for s in (split[:-1], split[1:]))
     share = (F.col("doc_id").cast("double") - F.get(low, coarse)) / F.greatest(F.get(high, coarse) - F.get(low, coarse), F.lit(1.0))
@@ -287,7 +296,6 @@ def _next_level(states: DataFrame, size: int, buckets: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256 and longest_repeat, the greatest length of size times a
     power of two at which a window of the document is in another one too (0: none)."""
-    buckets = partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +304,9 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
             n = len(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w.counts()), pa.array(np.zeros(n, np.int64)), pa.array(kept_hashes(w, np.zeros(len(w.start), bool)), pa.string()), pa.array(np.zeros(n, np.int64))], ["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat"])
 
-    level = stored(_first_level(dealt(docs.where("doc_id is not null")), size, buckets), "substrings")
+    known = docs.where("doc_id is not null")
+    split, within, buckets = layout(known)
+    level = stored(_first_level(dealt(known, split, within), size, buckets), "substrings")
     rows = level.where("state is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "longest")
     longer = None
     while not level.where("state is not null").isEmpty():
