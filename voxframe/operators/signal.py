@@ -74,8 +74,8 @@ def stereo_evidence(frames: DataFrame) -> DataFrame:
 def channel_similarity(samples: DataFrame, threshold: float = 0.98) -> DataFrame:
     """samples(rec, l, r), one row a sample -> rec, correlation, label: "same" over the threshold, else "different".
     Without variance the correlation is 1 if both channels have none, else 0."""
-    stats = samples.groupBy("rec").agg(F.corr("l", "r").alias("c"), F.stddev_pop("l").alias("sl"), F.stddev_pop("r").alias("sr"))
-    value = F.when((F.col("sl") > 1e-12) & (F.col("sr") > 1e-12), F.col("c")).when((F.col("sl") <= 1e-12) & (F.col("sr") <= 1e-12), F.lit(1.0)).otherwise(F.lit(0.0))
+    stats = samples.groupBy("rec").agg(F.covar_pop("l", "r").alias("c"), F.stddev_pop("l").alias("sl"), F.stddev_pop("r").alias("sr"))
+    value = F.when((F.col("sl") > 1e-12) & (F.col("sr") > 1e-12), F.col("c") / F.nullif(F.col("sl") * F.col("sr"), F.lit(0.0))).when((F.col("sl") <= 1e-12) & (F.col("sr") <= 1e-12), F.lit(1.0)).otherwise(F.lit(0.0))
     return stats.select("rec", value.alias("correlation")).withColumn("label", F.when(F.col("correlation") > threshold, F.lit("same")).otherwise(F.lit("different")))
 
 
