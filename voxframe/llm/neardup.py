@@ -32,7 +32,7 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 #: A pair of similarity 0.8 has at least this share of equal minima but for 1e-6.
 SIGNATURE_SHARE = 0.66
-BLOCK = 4096
+BLOCK = 1024
 _rng = np.random.default_rng(20240229)
 FACTOR = (_rng.integers(0, 2**32, HASHES, dtype=np.uint64) | U(1)).astype(np.uint32)
 SHIFT = _rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -110,7 +110,8 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def contents(docs: DataFrame, size: int) -> DataFrame:
-    """docs(doc_id, text) -> doc, signature and shingles as bytes; texts without shingles are left out."""
+    """docs(doc_id, text) -> doc, signature, shingles, and the distinct upper halves of these, as bytes; texts without shingles are
+    left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
@@ -119,11 +120,16 @@ def contents(docs: DataFrame, size: int) -> DataFrame:
             if len(full):
                 found = signatures(values, np.append(begin[full], begin[-1]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(full)), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([values[begin[k] : begin[k + 1]].tobytes() for k in full], pa.binary())],
-                    ["doc", "signature", "shingles"],
+                    [
+                        batch.column(0).take(pa.array(full)),
+                        pa.array([s.tobytes() for s in found], pa.binary()),
+                        pa.array([values[begin[k] : begin[k + 1]].tobytes() for k in full], pa.binary()),
+                        pa.array([np.unique((values[begin[k] : begin[k + 1]] >> U(32)).astype(np.uint32)).tobytes() for k in full], pa.binary()),
+                    ],
+                    ["doc", "signature", "shingles", "halves"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc long, signature binary, shingles binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc long, signature binary, shingles binary, halves binary")
 
 
 def alike(shared: int, a: int, b: int, percent: int) -> bool:
@@ -178,10 +184,10 @@ def across(members: DataFrame, held: DataFrame, percent: int, block: int = BLOCK
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", "doc", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    dealt = dealt.join(held.select("doc", "shingles"), "doc")
+    dealt = dealt.join(held.select("doc", "halves"), "doc")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.unique((np.frombuffer(s, np.uint64) >> U(32)).astype(np.uint32)) for s in part["shingles"]]
+        sets = [np.frombuffer(s, np.uint32) for s in part["halves"]]
         side = np.zeros(len(part), dtype=int) if part["i"].iloc[0] == part["j"].iloc[0] else part["own"].to_numpy() + 1
         found = links_in_block(part["doc"].to_numpy(), part["comp"].to_numpy(), side, sets, percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
