@@ -62,13 +62,13 @@ def measure(texts: list[bytes]) -> Measured:
     n = len(texts)
     sums = {}
     for name, table in CLASSES.items():
-        sums[name] = np.zeros(len(w.raw) + 1, dtype=np.int64)
-        np.cumsum(table[w.raw], out=sums[name][1:])
-    in_word = np.zeros(len(w.raw) + 1, dtype=np.int64)
+        sums[name] = np.zeros(len(w.raw) + 1, dtype=np.int32)  # a text has under 2**31 bytes
+        np.cumsum(table[w.raw], out=sums[name][1:], dtype=np.int32)
+    in_word = np.zeros(len(w.raw) + 1, dtype=np.int32)
     flag = np.zeros(len(w.raw) + 1, dtype=np.int8)
     flag[w.start] += 1
     flag[w.end] -= 1
-    np.cumsum(np.cumsum(flag[:-1]) * CLASSES["point"][w.raw], out=in_word[1:])
+    np.cumsum(np.cumsum(flag[:-1], dtype=np.int8) * CLASSES["point"][w.raw], out=in_word[1:], dtype=np.int32)
     # words in repeated 3-word windows
     text_of = np.repeat(np.arange(n), np.diff(w.first))
     salt = mix(np.arange(1, n + 1, dtype=np.uint64))
@@ -113,7 +113,7 @@ def measure(texts: list[bytes]) -> Measured:
     ).astype(float) if len(begin) else np.zeros((0, 16))
     f, o = w.first, w.offset
     return Measured(
-        np.diff(f), in_word[o[1:]] - in_word[o[:-1]], sums["symbol"][o[1:]] - sums["symbol"][o[:-1]],
+        np.diff(f), (in_word[o[1:]] - in_word[o[:-1]]).astype(np.int64), (sums["symbol"][o[1:]] - sums["symbol"][o[:-1]]).astype(np.int64),
         np.bincount(line_text[again], minlength=n), covered[f[1:]] - covered[f[:-1]], features, count, line_text, line_no,
     )
 
