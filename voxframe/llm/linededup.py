@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.llm.scratch import stored
+
 PRIME, NOW, BEFORE = 2**31 - 1, 1_000_003, 654_435_761
 
 
@@ -58,11 +60,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     each = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.filter(chunks(F.col("text")), lambda c: c.lines >= 2)).alias("c")).select("doc_id", F.col("c.k").alias("k"), F.col("c.text").alias("chunk"))
     each = each.withColumn("h", F.xxhash64("chunk"))
     place = F.struct("doc_id", "k")
-    often = each.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("h")
-    candidates = each.join(often, "h", "left_semi")
+    # stored, and merged at every size: both joins have plain shuffles on both sides, so a chunk that very many documents
+    # share is split
+    often = stored(each.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("h"), "lines-often")
+    candidates = stored(each.join(often.hint("merge"), "h", "left_semi"), "lines-candidates")
     # grouping and joining by the bytes themselves is the comparison
-    first = candidates.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "chunk", "first")
-    later = candidates.join(first, ["h", "chunk"]).where(F.struct("doc_id", "k") != F.col("first"))
+    first = stored(candidates.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "chunk", "first"), "lines-first")
+    later = candidates.join(first.hint("merge"), ["h", "chunk"]).where(F.struct("doc_id", "k") != F.col("first"))
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("k")).alias("gone"))  # one document's chunks
 
 
