@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from voxframe.llm import crf
 from voxframe.llm.arrow import slices
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.DOTALL)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "object", "canvas"}
@@ -99,10 +99,13 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
     def pop_to(k: int) -> None:
         del stack[k:]
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
-        m = TOKEN.search(page, at)
+        # past the last ">" there are no tags, and no need to look for their ends; an open comment hides the rest
+        m = TOKEN.search(page, at) if at <= last else None
         stop = m.start() if m else end
+        if m is None and (hidden := page.find("<!--", max(at, last))) >= 0:
+            stop = hidden
         if stop > at:
             text = entities.unescape(page[at:stop]) if "&" in page[at:stop] else page[at:stop]
             now.parts.append(text)
