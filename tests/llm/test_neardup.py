@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 
 from voxframe.llm import components, neardup
-from voxframe.llm.q_neardup import op3_neardup
+from voxframe.llm.q_neardup import SQL, op3_neardup
 
 from brute import near_components
+from oracle import compare
 
 
 def check(df, size):
@@ -21,6 +22,10 @@ def check(df, size):
             assert (r.component_id, r.n_shingles, r.kept) == (comp[r.doc_id], n[r.doc_id], comp[r.doc_id] == r.doc_id)
 
 
+def test_query_matches_sql(spark, sf_dir):
+    compare(spark, sf_dir, op3_neardup, SQL)
+
+
 def test_query_against_brute_force(spark, sf_dir, texts):
     comp, n = near_components(texts, 2)
     got = op3_neardup(spark, sf_dir).collect()

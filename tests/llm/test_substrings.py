@@ -7,9 +7,10 @@ from hypothesis import strategies as st
 
 from voxframe.llm import substrings as S
 from voxframe.llm import words
-from voxframe.llm.q_substrings import op2_substrings
+from voxframe.llm.q_substrings import SQL, op2_substrings
 
 from brute import WORD, longest_repeat, windows_removed
+from oracle import compare
 
 
 def check(df, size=13):
@@ -20,6 +21,10 @@ def check(df, size=13):
     return got, rows
 
 
+def test_query_matches_sql(spark, sf_dir):
+    compare(spark, sf_dir, op2_substrings, SQL)
+
+
 def test_query_against_brute_force(spark, sf_dir, texts):
     rows = sorted(texts.items())
     want = {d: w for (d, _), w in zip(rows, windows_removed(rows))}
