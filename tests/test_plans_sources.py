@@ -166,3 +166,33 @@ def test_streaming_sessions_and_frames(spark, tmp_path):
     assert spark.sql("select count(*) from s_framed").first()[0] == 5
     assert windows.sessions(df).count() == 2
     assert time.time() > 0
+
+
+def test_default_graph(spark, tmp_path):
+    t = np.arange(8000) / 16000
+    tone = 0.06 * np.sin(2 * np.pi * 200 * t)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "two.wav").write_bytes(audio.encode_wav(np.stack([np.concatenate([tone, tone * 0]), np.concatenate([tone * 0, tone])], 1)))
+    graph = annotate.steps(lambda: lambda c: [(0.0, 0.1, "hi")])
+    assert [s.name for s in graph.order({"frames"}, ("diagnostics", "alignment"))] == ["evidence", "decode", "diagnostics", "transcription", "alignment"]
+    assert [s.name for s in graph.order({"transcript", "segments"}, ("alignment",))] == ["alignment"]
+    frames = audio.frames(audio.files(spark, str(tmp_path / "in")))
+    out = run_graph(graph, Store(spark, tmp_path / "store"), {"frames": frames}, ("diagnostics", "alignment"))
+    assert out["diagnostics"].count() == 1 and {w for r in out["alignment"].collect() for w in r.text.split()} == {"hi"}
+
+
+def test_named_suite(spark):
+    from voxframe.operators import evaluation
+
+    assert evaluation.named_suite(spark, " Week1 ").count() == 1 and evaluation.named_suite(spark, "week1", ("hard", "easy")).count() == 0
+    with pytest.raises(ValueError):
+        evaluation.named_suite(spark, "other")
+
+
+def test_voice_activity_with_or_without_the_detector(spark):
+    from voxframe.operators import vad
+
+    rows = [("r", i, [0.0] * 160 if i < 20 else (0.1 * np.sin(np.arange(160) / 5)).tolist()) for i in range(40)]
+    got = [r.vad for r in vad.soft_vad(spark.createDataFrame(rows, "rec string, frame long, samples array<double>")).orderBy("frame").collect()]
+    assert len(got) == 40 and min(got) >= 0 and max(got) <= 1 and got[35] > got[3]
+    assert len(vad.sixteen_bit(np.ones(80), 160)) == 320

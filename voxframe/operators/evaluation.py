@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -77,3 +77,14 @@ def suite(manifest: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
         low = [w.strip().lower() for w in wanted]
         manifest = manifest.where(F.col("id").cast("string").isin(*wanted) | F.lower("tier").isin(*low))
     return manifest.orderBy("tier", F.col("id").cast("string"))
+
+
+#: Items (id, tier, scenario) of the suites that have a name.
+SUITES = {"week1": (("synthetic_leakage", "synthetic", "leakage_stress"),)}
+
+
+def named_suite(spark: SparkSession, name: str, wanted: tuple[str, ...] = ()) -> DataFrame:
+    items = SUITES.get(name.strip().lower())
+    if items is None:
+        raise ValueError(f"unknown suite {name!r}")
+    return suite(spark.createDataFrame(list(items), "id string, tier string, scenario string"), wanted)

@@ -3,9 +3,10 @@ recordings."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import asdict, dataclass
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from voxframe.operators import chunking, decode, evaluation, fusion, metrics, segments, signal, spectral, textgrid, transcript
 from voxframe.operators.timebase import HOP_S
+from voxframe.plans.steps import Registry, Step
 from voxframe.sources import artifacts, audio
 
 SMOOTH_MS, MIN_IPU_S = 80.0, 0.2
@@ -57,16 +59,48 @@ def annotate_files(spark: SparkSession, folder: str, tuning: decode.Tuning = dec
     return annotate(audio.frames(audio.files(spark, folder)), tuning)
 
 
-def transcribe(annotation: Annotation, durations: DataFrame, backend: Callable) -> DataFrame:
-    """Recogniser windows of each speaker's segments, their words, and the words back on the segments."""
-    spoken = annotation.segments.where(F.col("label") != "SIL").join(durations, "rec")
+def recognise(found: DataFrame, durations: DataFrame, backend: Callable) -> DataFrame:
+    """What the recogniser hears in windows of each speaker's segments: rec, start_time, end_time, text."""
+    spoken = found.where(F.col("label") != "SIL").join(durations, "rec")
     windows = chunking.asr_chunks(spoken.select("rec", "label", "start_time", "end_time", "duration_s"))
-    said = transcript.transcribe(windows, backend)
+    return transcript.transcribe(windows, backend)
+
+
+def on_segments(said: DataFrame, found: DataFrame) -> DataFrame:
+    """Recognised words back on the segments they belong to."""
     words = said.select("rec", F.col("text").alias("word"), "start_time", "end_time")
-    numbered = annotation.segments.where(F.col("label") != "SIL").withColumn("ipu", F.row_number().over(W.partitionBy("rec").orderBy("start_time", "label")) - 1)
+    numbered = found.where(F.col("label") != "SIL").withColumn("ipu", F.row_number().over(W.partitionBy("rec").orderBy("start_time", "label")) - 1)
     return transcript.align(words, numbered)
 
 
+def transcribe(annotation: Annotation, durations: DataFrame, backend: Callable) -> DataFrame:
+    """Recogniser windows of each speaker's segments, their words, and the words back on the segments."""
+    return on_segments(recognise(annotation.segments, durations, backend), annotation.segments)
+
+
+def steps(backend: Callable | None = None, tuning: decode.Tuning = decode.Tuning(), min_ipu_s: float = MIN_IPU_S) -> Registry:
+    """The graph from frames to evidence, decode, diagnostics, transcription and alignment. Only what a target needs runs;
+    given segments or a transcript, the steps before them do not."""
+    graph = Registry()
+
+    def decoded(state: Mapping[str, Any]) -> dict[str, Any]:
+        path = decode.decode(fusion.fuse(state["tracks"], tuning), tuning)
+        return {"path": path, "segments": segments.merge_per_label(segments.ipus(path, min_ipu_s), tuning.merge_gap_ms / 1000)}
+
+    def heard(state: Mapping[str, Any]) -> dict[str, Any]:
+        if backend is None:
+            raise ValueError("transcription needs a recogniser")
+        durations = state["path"].groupBy("rec").agg((F.count("*") * F.lit(HOP_S)).alias("duration_s"))
+        return {"transcript": recognise(state["segments"], durations, backend)}
+
+    graph.register(Step("evidence", ("frames",), ("tracks",), lambda s: {"tracks": evidence(s["frames"])}))
+    graph.register(Step("decode", ("tracks",), ("path", "segments"), decoded, {"tuning": asdict(tuning), "min_ipu_s": min_ipu_s}))
+    graph.register(Step("diagnostics", ("path",), ("diagnostics",), lambda s: {"diagnostics": decode.counters(s["path"])}))
+    graph.register(Step("transcription", ("path", "segments"), ("transcript",), heard))
+    graph.register(Step("alignment", ("transcript", "segments"), ("alignment",), lambda s: {"alignment": on_segments(s["transcript"], s["segments"])}))
+    return graph
+
+
 def write_run(annotation: Annotation, out: str | Path) -> None:
     """Tracks as Parquet, states, segments and diagnostics as typed JSON, TextGrids as text."""
     spans = lambda df: df.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("s"))  # noqa: E731  one recording
