@@ -55,12 +55,31 @@ def test_hot_group_of_near_copies(spark, block, monkeypatch):
     check(spark.createDataFrame(docs, "doc_id long, text string"), 2)
 
 
+def test_links_in_block_counts_shingles_that_hide_each_other():
+    """Two sets of 10 share 9 of 11, but two of the shared ones have equal upper halves, so the halves alone say 8 of 10."""
+    halves = np.arange(20, dtype=np.uint32)
+    a, b = halves[:9], np.append(halves[:8], halves[10])
+    both = lambda full: neardup.links_in_block(np.array([4, 2]), np.array([4, 2]), np.zeros(2, int), [a, b], np.array(full), 81)
+    assert both([10, 10]) == [(2, 4)]
+    assert both([9, 9]) == []
+
+
+def test_links_in_block_does_not_join_components_by_chance():
+    """Near the threshold, sets so large that some halves agree by chance leave every link to be confirmed."""
+    n = 3_000_000
+    shared = int(0.8001 * 2 * n / 1.8001)
+    base = np.arange(n, dtype=np.uint32)
+    sets = [base, np.append(base[:shared], np.arange(n, 2 * n - shared, dtype=np.uint32)), np.append(base[:shared], np.arange(2 * n, 3 * n - shared, dtype=np.uint32))]
+    found = neardup.links_in_block(np.arange(3), np.arange(3), np.zeros(3, int), sets, np.full(3, n), 80)
+    assert set(found) == {(0, 1), (0, 2), (1, 2)}
+
+
 def test_links_in_block_finds_a_spanning_set():
     rng = random.Random(5)
     sets = [np.unique(np.array([rng.randrange(60) for _ in range(40)], np.uint32)) for _ in range(40)]
     sets += [np.unique(np.append(s, rng.randrange(60))) for s in sets[:20]]
     n = len(sets)
-    found = neardup.links_in_block(np.arange(n), np.arange(n), np.zeros(n, int), sets, 80)
+    found = neardup.links_in_block(np.arange(n), np.arange(n), np.zeros(n, int), sets, np.array([len(s) for s in sets]), 80)
     up = list(range(n))
 
     def top(x):

@@ -110,8 +110,8 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def contents(docs: DataFrame, size: int) -> DataFrame:
-    """docs(doc_id, text) -> doc, signature, shingles, and the distinct upper halves of these, as bytes; texts without shingles are
-    left out."""
+    """docs(doc_id, text) -> doc, n (shingles), signature, shingles, and the distinct upper halves of these, as bytes; texts
+    without shingles are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
@@ -122,17 +122,19 @@ def contents(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(full)),
+                        pa.array(np.diff(begin)[full], pa.int64()),
                         pa.array([s.tobytes() for s in found], pa.binary()),
                         pa.array([values[begin[k] : begin[k + 1]].tobytes() for k in full], pa.binary()),
                         pa.array([np.unique((values[begin[k] : begin[k + 1]] >> U(32)).astype(np.uint32)).tobytes() for k in full], pa.binary()),
                     ],
-                    ["doc", "signature", "shingles", "halves"],
+                    ["doc", "n", "signature", "shingles", "halves"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc long, signature binary, shingles binary, halves binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc long, n long, signature binary, shingles binary, halves binary")
 
 
-def alike(shared: int, a: int, b: int, percent: int) -> bool:
+def alike(shared, a, b, percent: int):
+    """Of two sets' sizes and that of their intersection, as numbers or arrays."""
     return 100 * shared >= percent * (a + b - shared)
 
 
@@ -155,11 +157,14 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "xa", "xb").mapInArrow(run, "u long, v long")
 
 
-def links_in_block(docs: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def links_in_block(docs: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], full: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links between members of different components. side: members of equal side are left out, but where side is 0.
-    Finds them through lists of the members that hold a shingle; sets hold 32 bits of each, so links are to be confirmed:
-    those within two shingles of the threshold do not join components here."""
+    Finds them through lists of the members that hold a shingle. sets hold the distinct upper 32 bits of full shingles each.
+    Shingles of one text that agree there hide each other, so a pair may share as many more as the lesser of the two lost;
+    shingles of two texts may agree by chance, so links are to be confirmed, and those that lie within the chance
+    agreements to expect (many, for very long texts) of the threshold do not join components here."""
     size = np.array([len(s) for s in sets])
+    lost = full - size
     codes, code = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(code, kind="stable")
@@ -170,11 +175,14 @@ def links_in_block(docs: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: l
     for x in np.flatnonzero(group != count.argmax()):
         own = code[begin[x] : begin[x + 1]]
         shared = np.bincount(np.concatenate([holders[start[c] : start[c + 1]] for c in own]), minlength=len(sets))
-        able = (group != group[x]) & (100 * shared >= percent * (size[x] + size - shared)) & ((side == 0) | (side != side[x]))
+        most = shared + np.minimum(lost[x], lost)
+        chance = float(full[x]) * full / 2.0**32
+        least = shared - 2 - chance - 8 * np.sqrt(chance)
+        able = (group != group[x]) & alike(most, full[x], full, percent) & ((side == 0) | (side != side[x]))
         for y in np.flatnonzero(able):
             if group[y] != group[x]:
                 out.append((int(min(docs[x], docs[y])), int(max(docs[x], docs[y]))))
-                if 100 * (shared[y] - 2) >= percent * (size[x] + size[y] - shared[y] + 2):
+                if alike(least[y], full[x], full[y], percent):
                     group[group == group[y]] = group[x]
     return out
 
@@ -184,12 +192,12 @@ def across(members: DataFrame, held: DataFrame, percent: int, block: int = BLOCK
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", "doc", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    dealt = dealt.join(held.select("doc", "halves"), "doc")
+    dealt = dealt.join(held.select("doc", "n", "halves"), "doc")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(s, np.uint32) for s in part["halves"]]
         side = np.zeros(len(part), dtype=int) if part["i"].iloc[0] == part["j"].iloc[0] else part["own"].to_numpy() + 1
-        found = links_in_block(part["doc"].to_numpy(), part["comp"].to_numpy(), side, sets, percent)
+        found = links_in_block(part["doc"].to_numpy(), part["comp"].to_numpy(), side, sets, part["n"].to_numpy(), percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
