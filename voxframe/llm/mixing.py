@@ -87,9 +87,10 @@ def _round(rows: DataFrame) -> DataFrame:
     sums = sums.withColumn("start", F.col("upto") - F.col("words")).withColumn("all_in", F.col("upto") <= F.col("room")).withColumn("cut", ~F.col("all_in") & (F.col("start") <= F.col("room")))
     joined = rows.join(sums.withColumnRenamed("source", "of").withColumnRenamed("bucket", "b"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b"))).drop("of", "b").withColumn("open", is_open)
     sorted_in = W.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    # the window runs over the cut ranges alone, one a source
-    cut = joined.where("cut").withColumn("upto", F.col("start") + F.sum(F.when(F.col("open"), F.col("size")).otherwise(F.lit(0))).over(sorted_in)).withColumn("more", F.when(F.col("open") & (F.col("upto") <= F.col("room")), F.lit(1)).otherwise(F.col("more")))
-    rest = joined.where("not cut").withColumn("more", F.when(F.col("open") & F.col("all_in"), F.lit(1)).otherwise(F.col("more")))
+    # the window runs over the open rows of the cut ranges alone, one a source: where p is small the last range is most of a
+    # source, but a round that cuts there has few rows left that fit
+    cut = joined.where("cut and open").withColumn("upto", F.col("start") + F.sum("size").over(sorted_in)).withColumn("more", F.when(F.col("upto") <= F.col("room"), F.lit(1)).otherwise(F.col("more")))
+    rest = joined.where("not (cut and open)").withColumn("more", F.when(F.col("open") & F.col("all_in"), F.lit(1)).otherwise(F.col("more")))
     columns = [c for c in rows.columns if c != "gap"]
     taken = stored(cut.select(*columns, "open", "room").unionByName(rest.select(*columns, "open", "room")), "mix-taken")
     spent = taken.groupBy("source", "bucket").agg(F.sum(F.when(F.col("open") & (F.col("more") == 1), F.col("size")).otherwise(F.lit(0))).alias("w"))
