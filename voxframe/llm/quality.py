@@ -156,7 +156,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None, docume
     rows = [(m.features, np.concatenate([np.array(x) for x in marks]), np.bincount(m.line_text, minlength=len(texts)))]
     if labels is not None:
         chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(documents)
-        pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "text", "quality")
+        pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"))), "doc_id")
+        # one row of each doc_id, so that the sample stays as small as documents says where rows repeat
+        pairs = pairs.groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("one")).select("doc_id", "one.text", "one.quality")
 
         def shown(batches):
             for batch, part in slices(batches, "text"):
@@ -167,7 +169,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None, docume
                     y = np.full(len(at), quality[k])
                     yield pa.RecordBatch.from_arrays([pa.array([ids[k]]), pa.array([m.features[at].ravel().tolist()], pa.list_(pa.float64())), pa.array([y.astype(int).tolist()], pa.list_(pa.int64()))], ["doc_id", "x", "y"])
 
-        for row in sorted(pairs.mapInArrow(shown, "doc_id long, x array<double>, y array<long>").collect())[: 2 * documents]:
+        for row in sorted(pairs.mapInArrow(shown, "doc_id long, x array<double>, y array<long>").collect()):
             rows.append((np.array(row.x).reshape(len(row.y), -1), np.array(row.y), np.array([len(row.y)])))
     return crf.fit(np.vstack([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]), steps=150)
 
