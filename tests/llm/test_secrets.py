@@ -65,3 +65,13 @@ def test_random_runs_are_added_and_words_are_not():
 @pytest.mark.parametrize("samples", [[], [("aaaaaaaaaaaaaaaaaaaa1", 0)]])
 def test_training_on_little(samples):
     assert secrets.train(samples).score("abc1") is not None
+
+
+def test_overlaps_are_found_whatever_the_order_of_spans():
+    models = secrets.train()
+    run = "Zk3Qw9Xv7Bn2Lm5Tp8Rd4Hs6"
+    text = " ".join([run] * 4)
+    at = [k * (len(run) + 1) for k in range(4)]
+    taken = [("hex", at[2] + 3, at[2] + 5), ("assign", 0, at[1] + 1), ("hex", 4, 6)]
+    assert secrets.model_spans(text, models, taken) == [("markov", at[3], at[3] + len(run))]
+    assert secrets.model_spans(text, models, [("hex", len(run), len(run) + 1)]) == [("markov", a, a + len(run)) for a in at]

@@ -9,7 +9,6 @@ length are scanned whole; repeated rows give repeated results.
 
 from __future__ import annotations
 
-
 import random
 import re
 from collections.abc import Iterable, Iterator
@@ -95,11 +94,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def model_spans(text: str, models: Models, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Candidate runs over the threshold that no span in taken overlaps."""
-    out = []
+    """Candidate runs over the threshold that no span in taken overlaps: the furthest end of those that begin before a
+    run ends decides, and is carried on from run to run."""
+    out, ahead, k, reach = [], sorted((s, e) for _, s, e in taken), 0, 0
     for m in RUN.finditer(text):
+        while k < len(ahead) and ahead[k][0] < m.end():
+            reach = max(reach, ahead[k][1])
+            k += 1
         run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and models.score(run) > models.threshold and not any(s < m.end() and m.start() < e for _, s, e in taken):
+        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and reach <= m.start() and models.score(run) > models.threshold:
             out.append(("markov", *m.span()))
     return out
 
