@@ -75,3 +75,33 @@ def test_overlaps_are_found_whatever_the_order_of_spans():
     taken = [("hex", at[2] + 3, at[2] + 5), ("assign", 0, at[1] + 1), ("hex", 4, 6)]
     assert secrets.model_spans(text, models, taken) == [("markov", at[3], at[3] + len(run))]
     assert secrets.model_spans(text, models, [("hex", len(run), len(run) + 1)]) == [("markov", a, a + len(run)) for a in at]
+
+
+def added(spark, texts):
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.added] for r in rows}
+
+
+def test_held_out_recall_through_scan(spark):
+    rng, a = random.Random(271), secrets.ALPHABET
+    keys = [("".join(rng.choice(chars) for _ in range(n))) for n in (16, 17, 18, 19, 20, 24, 40) for chars in (a[:62], a[:52], a[:64], a[26:62]) for _ in range(40)]
+    keys = [k for k in keys if not secrets.base_spans(k)]
+    got = added(spark, [f"see {k} for it" for k in keys])
+    assert sum(got[i] == [k] for i, k in enumerate(keys)) / len(keys) > 0.98
+    letters = [i for i, k in enumerate(keys) if k.isalpha()]
+    assert sum(got[i] == [keys[i]] for i in letters) / len(letters) > 0.97
+
+
+def test_held_out_ordinary_runs_through_scan(spark):
+    plain = [t for t, label in secrets.labelled_samples(1500, seed=99) if not label and len(t) >= 16 and not secrets.base_spans(t)]
+    plain += ["internationalisation", "Donaudampfschifffahrt", "/usr/local/share/doc/python", "-" * 30, "_" * 16, "=" * 20, "StackOverflowException", "getElementsByTagName"]
+    got = added(spark, plain)
+    assert sum(bool(x) for x in got.values()) / len(plain) < 0.02 and not any(got[len(plain) - k] for k in range(1, 9))
+
+
+def test_what_is_left_of_a_run_beside_base_spans(spark):
+    rng = random.Random(8)
+    key = "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(40))
+    code = "0123456789abcdef" * 2
+    texts = [f"prefix-{code}-{key} end", f"{key}-{code}", f"{key}/{code}/{key}", f"password={key} x", f"name_of_a_file_list-{code}"]
+    assert added(spark, texts) == {0: ["-" + key], 1: [key + "-"], 2: [key + "/", "/" + key], 3: [], 4: []}

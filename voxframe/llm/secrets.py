@@ -2,8 +2,9 @@
 ordinary identifiers.
 
 Two character Markov models of one order are trained from labelled samples (label 1: random secrets, 0: ordinary
-identifiers); a candidate run is reported if its mean log-likelihood ratio per character exceeds a threshold found on the
-samples held out. Spans count code points, ends exclusive. Edge cases: null and empty texts have no spans; texts of any
+identifiers and words); a candidate run is reported if its mean log-likelihood ratio per character exceeds a threshold found
+on the samples held out, one for runs under LONG characters and one for the others. Every run from SHORT characters is a
+candidate, and of a run that fixed patterns match in part, each piece left of it. Spans count code points, ends exclusive. Edge cases: null and empty texts have no spans; texts of any
 length are scanned whole; repeated rows give repeated results.
 """
 
@@ -25,19 +26,33 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: A run must have letters and digits to be a candidate: words and numbers are not secrets of this kind.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.ASCII)
+SHORT, LONG = 16, 20
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORT},}}", re.ASCII)
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CODE = np.full(128, len(ALPHABET), dtype=np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
+PROSE = """
+international responsibility extraordinary characteristics government knowledge business through thought strength rhythm psychology
+question quickly required maximum exactly example object subject majority judgement jazz frequency mechanism environment development
+wonderful however always following between without another something everyone yesterday tomorrow background workspace framework
+awkward equipment unfortunately misunderstanding straightforward acknowledgement configuration keyboard interrupt exception buffer
+heureux nouveaux beaucoup oiseaux travaux generaux aujourdhui quelque toujours lieux yeux mieux ceux jeux eaux eux aux chevaux bureaux
+ailleurs feuille oeuvre ouvrage choix voix croix paix deux faux rieuse joyeux auxiliaire queue taux veux peux anciennement
+gesellschaft wirtschaft freundschaft geschwindigkeit donau dampf schifffahrt kapfen pferd pfanne pfeffer apfel kopf zuber zweck
+herzlich kurz platz schutz gesetz satz setzung zeitschrift entwicklung verantwortung wissenschaft rechtschreibung zusammenfassung
+einfach zukunft zwischen schwarz deutsch tschechisch jahrhundert vorwort kraftfahrzeug haftpflicht versicherung ubung achtzehn
+desarrollo queso izquierda conocimiento responsabilidad trabajo juego ejemplo hacia mayo llave guerra carretera ferrocarril
+pequeno mejor dijo rojo viejo hijo abajo voz luz paz vez diez feliz lapiz quizas excelente proximo texto fuerza
+"""
 
 
 def labelled_samples(n: int = 4000, seed: int = 17) -> list[tuple[str, int]]:
-    """Random strings of the usual alphabets, and identifiers as people and programs write them."""
+    """Random strings of the usual alphabets, and identifiers, words and rules as people and programs write them."""
     rng = random.Random(seed)
     words = "get set user name list file path node value index count total page link view test data base time date year size type code line text word next last first open close read write send load save item order price customer region part supplier event document table column query join group filter window frame track state segment the and for with from this that are was of to in on is as by be it or an at un une des les que est pour par avec der die das und mit von sich nicht el la los del con para".split()
-    out = []
-    for _ in range(n):
+    prose = PROSE.split()
+    out, more = [], []
+    for k in range(n):
         size = rng.randint(16, 64)
         chars = rng.choice(["0123456789abcdef", ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[:62] + "-_"])
         out.append(("".join(rng.choice(chars) for _ in range(size)), 1))
@@ -56,7 +71,11 @@ def labelled_samples(n: int = 4000, seed: int = 17) -> list[tuple[str, int]]:
         else:
             text = "_".join(parts).upper() + f"_{rng.randint(0, 99)}"
         out.append((text, 0))
-    return out
+        # what has no digits: words of several languages run together, identifiers, and rules
+        parts = [rng.choice(prose) for _ in range(rng.randint(2, 5))]
+        text = [lambda: "".join(parts), lambda: "".join(parts).capitalize(), lambda: "".join(p.capitalize() for p in parts), lambda: "-".join(parts), lambda: "_".join(parts), lambda: "/" + "/".join(parts), lambda: "".join(parts).upper(), lambda: "_".join(parts).upper(), lambda: rng.choice(ALPHABET) * rng.randint(SHORT, 64), lambda: (rng.choice("-=+_/") + rng.choice("-=+_/")) * rng.randint(SHORT // 2, 32)][k % 10]()
+        more.append((text, 0))
+    return out + more
 
 
 @dataclass(frozen=True)
@@ -65,6 +84,10 @@ class Models:
 
     ratio: np.ndarray
     threshold: float
+    short: float = 0.25
+
+    def secret(self, run: str) -> bool:
+        return self.score(run) > (self.threshold if len(run) >= LONG else self.short)
 
     def score(self, run: str) -> float:
         code = CODE[np.frombuffer(run.encode("ascii"), dtype=np.uint8)]
@@ -73,7 +96,7 @@ class Models:
 
 def train(samples: Iterable[tuple[str, int]] | None = None, smooth: float = 0.5) -> Models:
     """Counts of pairs with additive smoothing; every fifth sample is held out for the threshold, the least score at which
-    no held-out ordinary string passes, or else the midpoint of the two classes' nearest scores."""
+    no held-out ordinary string passes, or else the midpoint of the two classes' nearest scores. Runs under LONG have their own."""
     samples = list(labelled_samples() if samples is None else samples)
     counts = np.full((2, len(ALPHABET) + 1, len(ALPHABET) + 1), smooth)
     for k, (text, label) in enumerate(samples):
@@ -82,9 +105,13 @@ def train(samples: Iterable[tuple[str, int]] | None = None, smooth: float = 0.5)
             np.add.at(counts[label], (np.concatenate([[len(ALPHABET)], code[:-1]]), code), 1)
     logp = np.log(counts / counts.sum(2, keepdims=True))
     models = Models(logp[1] - logp[0], 0.0)
-    held = [(models.score(t), label) for k, (t, label) in enumerate(samples) if k // 2 % 5 == 0 and t]
-    ordinary, random_ = [s for s, label in held if not label], [s for s, label in held if label]
-    return Models(models.ratio, max(0.25, (max(ordinary) + min(random_)) / 2 if ordinary and random_ else 0.25))
+    held = [(models.score(t), label, len(t)) for k, (t, label) in enumerate(samples) if k // 2 % 5 == 0 and t]
+
+    def least(low: int, high: float) -> float:
+        ordinary, random_ = ([x for x, label, n in held if label == y and low <= n < high] for y in (0, 1))
+        return max(0.25, (max(ordinary) + min(random_)) / 2 if ordinary and random_ else 0.25)
+
+    return Models(models.ratio, least(LONG, float("inf")), least(SHORT, LONG))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -101,12 +128,32 @@ def model_spans(text: str, models: Models, taken: list[tuple[str, int, int]]) ->
         while k < len(ahead) and ahead[k][0] < m.end():
             reach = max(reach, ahead[k][1])
             k += 1
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and reach <= m.start() and models.score(run) > models.threshold:
+        if reach <= m.start() and models.secret(m[0]):
             out.append(("markov", *m.span()))
     return out
 
 
+def rest_spans(text: str, models: Models, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Of the runs that spans in taken overlap, the pieces outside them that are long enough and over the threshold."""
+    joined: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if joined and s <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], e)
+        else:
+            joined.append([s, e])
+    out, k = [], 0
+    for m in RUN.finditer(text) if joined else ():
+        while k < len(joined) and joined[k][1] <= m.start():
+            k += 1
+        at, j = m.start(), k
+        while j < len(joined) and joined[j][0] < m.end():
+            out.append((at, joined[j][0]))
+            at, j = joined[j][1], j + 1
+        if j > k:
+            out.append((at, m.end()))
+    return [("markov", a, b) for a, b in out if b - a >= SHORT and models.secret(text[a:b])]
+
+
 def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
@@ -122,7 +169,7 @@ def scan(docs: DataFrame, models: Models | None = None) -> DataFrame:
             for raw in texts:
                 text = raw.decode("utf-8", "surrogatepass")
                 base = base_spans(text)
-                for out, found in zip(both, (base, model_spans(text, models, base))):
+                for out, found in zip(both, (base, model_spans(text, models, base) + rest_spans(text, models, base))):
                     out.append([{"kind": k, "start": s, "end": e} for k, s, e in sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, span) for x in both)], ["doc_id", "base", "added"])
 
