@@ -89,3 +89,14 @@ def test_edge_cases(spark):
 def test_labels_must_fit_the_blocks():
     with pytest.raises(ValueError):
         X.train([("<p>a</p>", [1, 0])])
+
+
+@pytest.mark.parametrize("tag", ["div", "section"])
+@pytest.mark.parametrize("word", ["sidebar", "comment", "ad"])
+def test_long_names_count(tag, word):
+    long_ = " ".join(f"px-{k} md:w-{k}" for k in range(40))
+    body = lambda names: f'<{tag} class="{names}"><p>Some words that stand beside the story, and they end here.</p></{tag}>'
+    short, wide, last = (X.blocks(body(n))[0][1] for n in (word, f"{word} {long_}", f"{long_} {word}"))
+    assert len(long_) >= 200 and wide == last == short != 0
+    page = f"<html><body><article><h1>Title of it</h1>{BODY}</article>{body(f'{word} {long_}')}</body></html>"
+    assert extract_one(page) == "Title of it\n" + STORY

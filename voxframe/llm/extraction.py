@@ -75,8 +75,8 @@ def _bits(tag: str, attributes: str) -> int:
     bits = 0 if k is None else 1 << k
     if attributes and tag not in ("html", "body"):
         for value in NAMES.findall(attributes):
-            if len(value) < 200:
-                bits |= _name_bits(value)
+            # long values seldom recur: the cache does not hold them
+            bits |= _name_bits(value) if len(value) < 200 else _name_bits.__wrapped__(value)
     return bits
 
 
