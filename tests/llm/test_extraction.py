@@ -100,3 +100,34 @@ def test_long_names_count(tag, word):
     assert len(long_) >= 200 and wide == last == short != 0
     page = f"<html><body><article><h1>Title of it</h1>{BODY}</article>{body(f'{word} {long_}')}</body></html>"
     assert extract_one(page) == "Title of it\n" + STORY
+
+
+def test_only_raw_text_and_hidden_content_is_skipped():
+    text = lambda page: [b[0] for b in X.blocks(page)]
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    assert text("<object data=a><p>fallback</p></object><canvas>drawn</canvas>") == ["fallback", "drawn"]
+    assert text("<p>a<svg><title>icon</title><text>label</text></svg>b</p>") == ["ab"]
+    assert text("<p>a<template><div>t</div></template>b<noscript><p>n</p></noscript>c</p>") == ["abc"]
+    assert text("<p>a<svg><foreignObject><div>f</div></foreignObject></svg>b</p>") == ["ab"]
+    assert text("<p>a<svg/>b</p>") == ["ab"]
+    assert text("a<script>var x = 1") == ["a"]
+
+
+@pytest.mark.parametrize("tag", ["object", "canvas", "math", "svg", "template", "noscript"])
+def test_what_is_not_closed_does_not_end_the_page(tag):
+    text = lambda page: [b[0] for b in X.blocks(page)]
+    assert text(f"<div><p>a</p><{tag}></div><p>b</p><p>c</p>") == ["a", "b", "c"]
+    assert text(f"<div><{tag}><p>in</p></div><p>b</p>") == (["b"] if tag in ("template", "noscript") else ["in", "b"])
+    assert text(f"<p>a</p><{tag}><p>b<p>c") == ["a", "b", "c"]
+    assert text(f"<{tag}>a<{tag}>b") == ["ab"] and text(f"a<{tag}>") == ["a"]
+    page = f"<html><body><article><h1>Title of it</h1><div><{tag}></div>{BODY}</article><footer>&copy; 2024 site</footer></body></html>"
+    assert extract_one(page) == "Title of it\n" + STORY
+
+
+def test_many_unclosed_elements_take_linear_time():
+    import time
+
+    start = time.monotonic()
+    for tag in ("svg", "template", "noscript"):
+        assert X.blocks(f"<{tag}>" * 50_000 + "x")[0][0] == "x"
+    assert time.monotonic() - start < 20

@@ -3,7 +3,9 @@
 A leaf block is a run of text that no block-level tag interrupts. Its features are the tags and class words of its
 ancestors and a few facts of its text. The model is trained on labelled pages; those built in are drawn by rule from the
 ways in which pages are put together. Edge cases: null, empty and tagless pages are handled (a page without tags is one
-block); unclosed and stray tags are tolerated as browsers do; nothing is dropped or capped but what the model rejects.
+block); unclosed and stray tags are tolerated as browsers do; nothing is dropped or capped but what the model rejects, the
+raw text of scripts and the like (RAW) and what is drawn or inert (HIDING). One of HIDING that is not closed ends where its
+parent closes, an svg also at a block-level tag; if nothing ends it, its text counts.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,7 +28,8 @@ from voxframe.llm.arrow import slices
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.DOTALL)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "object", "canvas"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+HIDING = {"svg", "template", "noscript"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -100,24 +104,40 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
         del stack[k:]
 
     at, end, last = 0, len(page), page.rfind(">")
-    while at < end:
+    # the open element of HIDING, where its content begins and what is open in it; those that nothing ends
+    hide, begin, within, endless = "", 0, Counter(), set()
+    while at < end or hide:
         # past the last ">" there are no tags, and no need to look for their ends; an open comment hides the rest
         m = TOKEN.search(page, at) if at <= last else None
         stop = m.start() if m else end
         if m is None and (hidden := page.find("<!--", max(at, last))) >= 0:
             stop = hidden
-        if stop > at:
+        if stop > at and not hide:
             text = entities.unescape(page[at:stop]) if "&" in page[at:stop] else page[at:stop]
             now.parts.append(text)
             if link:
                 now.links += len(text)
         if not m:
-            break
+            if not hide:
+                break
+            endless.add(hide)
+            at, hide = begin, ""
+            continue
         at = m.end()
         name = m[2] or m[5]
         if not name:
             continue
         closing, tag, attributes = m[1] or m[4], name.lower(), m[3] or m[6] or ""
+        if hide and (tag not in RAW or closing or (hide, tag) == ("svg", "title")):
+            if tag in BLOCK and (within[tag] == 0 and any(s[0] == tag for s in stack) if closing else hide == "svg" and not within["foreignobject"] and not within["desc"]):
+                hide = ""
+            elif closing and tag == hide:
+                hide = ""
+                continue
+            else:
+                if tag in BLOCK or tag in ("foreignobject", "desc"):
+                    within[tag] = max(0, within[tag] + (-1 if closing else not attributes.endswith("/")))
+                continue
         if tag == "br":
             now.parts.append(" ")
         elif tag == "a":
@@ -126,6 +146,9 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
             if not closing and not attributes.endswith("/"):
                 over = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
                 at = over.end() if over else end
+        elif tag in HIDING:
+            if not closing and not attributes.endswith("/") and tag not in endless:
+                hide, begin, within = tag, at, Counter()
         elif tag in BLOCK:
             if closing:
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
