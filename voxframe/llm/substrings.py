@@ -295,7 +295,9 @@ def _next_level(states: DataFrame, size: int, buckets: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256 and longest_repeat, the greatest length of size times a
-    power of two at which a window of the document is in another one too (0: none)."""
+    power of two at which a window of the document is in another one too (0: none). Above size only documents that the
+    first level does not remove wholly are compared: a wholly removed one gets size, and so does one that shares longer
+    windows with such documents alone."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
