@@ -121,3 +121,25 @@ def test_signatures_estimate_similarity():
     b = np.concatenate([a[:800], rng.integers(0, 2**63, 200, dtype=np.uint64)])
     s = neardup.signatures(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, 1000, 2000]))
     assert abs((s[0] == s[1]).mean() - 800 / 1200) < 0.12
+
+
+def test_columns_named_like_the_operators_own_keep_their_values(spark):
+    names = ["near__id", "near_id", "doc", "a", "b", "class_id", "component_id", "dealt", "bucket", "lead", "signature"]
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, text + (" more" if k == 2 else ""), *[7] * len(names)) for k in range(3)] + [(9, "quite another text", *[7] * len(names))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = neardup.dedup(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 9] and all(out.where(f"`{n}` = 7").count() == 2 for n in names)
+
+
+@pytest.mark.parametrize("size", [64, 16 << 20])
+def test_blocks_bounded_in_bytes_find_the_same_links(spark, size, monkeypatch):
+    """Groups that are near, not linked to, the least member of their buckets."""
+    monkeypatch.setattr(neardup.across, "__kwdefaults__", {"block_bytes": size})
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(100)]
+    docs = [(0, " ".join(base))]
+    for k in range(1, 40):
+        w = base[:62] + [f"g{k % 4}-{i}" for i in range(38)]
+        w[rng.randrange(100)] = f"e{k}"
+        docs.append((k, " ".join(w)))
+    check(spark.createDataFrame(docs, "doc_id long, text string"), 2)

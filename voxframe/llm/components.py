@@ -5,42 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.scratch import stored
+from voxframe.llm.scratch import split_join, stored
 
 
-def _least(pairs: DataFrame, name: str) -> DataFrame:
-    """u, low: the least v of each u. Stored, so that the join with pairs has two plain shuffles, and a hot u is split."""
-    return stored(pairs.groupBy("u").agg(F.min("v").alias("low")), name)
+def _least(pairs: DataFrame) -> DataFrame:
+    """u, low: the least v of each u."""
+    return pairs.groupBy("u").agg(F.min("v").alias("low"))
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Joins the larger neighbours of each node to the least of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.where("v > u").join(_least(both, "cc-large"), "u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
+    return split_join(both.where("v > u"), _least(both), "u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
-    """Joins the smaller neighbours of each node, and itself, to the least of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _least(down, "cc-small")
-    moved = down.join(low, "u").where("v > low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    """Joins the smaller neighbours of each node, and itself, to the least of them. edges: v below u, as large_star gives."""
+    low = _least(edges)
+    moved = split_join(edges, low, "u").where("v > low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
 
 
-def _print(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-    return row.n, row.s
+def is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each node is below one centre at most, and no centre is below another: then every component is one star."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+    return ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf + centre > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges(u, v) of long ids, u != v -> node, component: the least id it reaches; nodes without edges are absent.
-    Null ids and loops are ignored; an empty table gives an empty result."""
-    now = stored(edges.where("u != v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct(), "cc-edges")
-    was = None
-    while (now_print := _print(now)) != was:
-        was = now_print
-        if not was[0]:
-            break
-        now = stored(small_star(stored(large_star(now), "cc-step")), "cc-edges")
-    # converged: every node but the least points to it
+    """edges(u, v) of long ids -> node, component: the least id it reaches; nodes without edges are absent.
+    Null ids and loops are ignored; an empty table gives an empty result. One table is stored a turn."""
+    now = stored(edges.where("u != v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(), "cc-edges")
+    while not is_forest_of_stars(now):
+        now = stored(small_star(large_star(now)), "cc-edges")
+    # every node but the least points to it
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

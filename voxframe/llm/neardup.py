@@ -4,9 +4,11 @@
 2. HASHES minima, in bands of ROWS, put a class into BANDS buckets; 0.8 alike means a common bucket but for 1e-7.
 3. Every member of a bucket is compared with the bucket's least member: by signature, then on the full sets. Links give
    components by alternating stars. A hot group costs a number of pairs linear in its size.
-4. Buckets that still hold several components are searched exactly: blocks of members are compared through an inverted
-   list of their shingles, and only links between different components leave the task. Such links are confirmed on the
-   full sets, and components are taken over all links. So no link between different components is lost.
+4. Buckets whose other members still are in several components are searched exactly, one of those that have the same
+   members: blocks of members are compared through an inverted list of their shingles, and only links between different
+   components leave the task. Such links are confirmed on the full sets, and components are taken over all links. So no
+   link between different components is lost. This costs blocks in proportion to the square of the members of a bucket
+   that are near, but not linked to, each other; blocks are bounded in members and in bytes.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text with fewer words than a shingle is
 one shingle; rows without doc_id are linked with nothing and kept; rows with equal doc_id are one node; empty tables work.
@@ -17,14 +19,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.llm.arrow import slices
 from voxframe.llm.components import components
-from voxframe.llm.scratch import stored
+from voxframe.llm.scratch import split_join, stored, unused
 from voxframe.llm.words import WIDE, U, Words, mix, spans_hash
 
 SHINGLE, PERCENT = 5, 80
@@ -32,7 +33,8 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 #: A pair of similarity 0.8 has at least this share of equal minima but for 1e-6.
 SIGNATURE_SHARE = 0.66
-BLOCK = 1024
+#: A block of a bucket that is searched has about so many members, and bytes of shingles, at most.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 _rng = np.random.default_rng(20240229)
 FACTOR = (_rng.integers(0, 2**32, HASHES, dtype=np.uint64) | U(1)).astype(np.uint32)
 SHIFT = _rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -110,15 +112,15 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def contents(docs: DataFrame, size: int) -> DataFrame:
-    """docs(doc_id, text) -> doc, n (shingles), signature, shingles, and the distinct upper halves of these, as bytes; texts
-    without shingles are left out."""
+    """docs(doc_id, text) -> doc, n (shingles), signature (a byte of each minimum), shingles, and the distinct upper halves
+    of these, as bytes; texts without shingles are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             values, begin = shingle_sets(texts, size)
             full = np.flatnonzero(np.diff(begin) > 0)
             if len(full):
-                found = signatures(values, np.append(begin[full], begin[-1]))
+                found = signatures(values, np.append(begin[full], begin[-1])).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(full)),
@@ -138,23 +140,26 @@ def alike(shared, a, b, percent: int):
     return 100 * shared >= percent * (a + b - shared)
 
 
-def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) those that are alike by signature and, exactly, by their full sets."""
-    left = held.select(F.col("doc").alias("a"), F.col("signature").alias("sa"), F.col("shingles").alias("xa"))
-    right = held.select(F.col("doc").alias("b"), F.col("signature").alias("sb"), F.col("shingles").alias("xb"))
+def _tested(pairs: DataFrame, held: DataFrame, column: str, kind, test) -> DataFrame:
+    """Those of pairs(a, b) whose values of a binary column of held, as arrays of kind, pass the test. Values are looked at
+    where they lie in the batch, a pair at a time."""
+    left, right = (held.select(F.col("doc").alias(c), F.col(column).alias(f"x{c}")) for c in ("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for sa, sb, xa, xb in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sa", "sb", "xa", "xb"))):
-                near = (np.frombuffer(sa, np.uint32) == np.frombuffer(sb, np.uint32)).sum() >= SIGNATURE_SHARE * HASHES
-                if near:
-                    x, y = np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64)
-                    near = alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)
-                keep.append(bool(near))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            xa, xb = (batch.column(batch.schema.get_field_index(c)) for c in ("xa", "xb"))
+            keep = [bool(test(np.frombuffer(xa[k].as_buffer(), kind), np.frombuffer(xb[k].as_buffer(), kind))) for k in range(len(xa))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "xa", "xb").mapInArrow(run, "u long, v long")
+
+def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b) those that are alike by signature and then, exactly, by their full sets, as u, v. A byte of each minimum
+    is compared, 200 bytes a text, so that sets travel only for pairs that pass; bytes agree where minima do."""
+    near = _tested(pairs, held, "signature", np.uint8, lambda x, y: (x == y).sum() >= SIGNATURE_SHARE * HASHES)
+    exact = _tested(near, held, "shingles", np.uint64, lambda x, y: alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
+    return exact.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def links_in_block(docs: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], full: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -187,20 +192,26 @@ def links_in_block(docs: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: l
     return out
 
 
-def across(members: DataFrame, held: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """members(bucket, doc, comp) of buckets with several components -> candidate links a, b between components."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def across(members: DataFrame, held: DataFrame, percent: int, block: int = BLOCK, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """members(bucket, doc, n, comp) of buckets with several components -> candidate links a, b between components. Blocks
+    have about block members and block_bytes of shingles at most; of buckets with equal members one is searched."""
+    sums = members.groupBy("bucket").agg(
+        F.count("*").alias("count"), F.sum("n").alias("words"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+        F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"),
+    ).where("low != high")
+    sizes = sums.groupBy("x", "y", "count").agg(F.min(F.struct("bucket", "words")).alias("one")).select("one.bucket", F.greatest(F.ceil(F.col("count") / block), F.ceil(4 * F.col("one.words") / block_bytes)).cast("int").alias("blocks"))
+    dealt = split_join(members, sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", "doc", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     dealt = dealt.join(held.select("doc", "n", "halves"), "doc")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(s, np.uint32) for s in part["halves"]]
-        side = np.zeros(len(part), dtype=int) if part["i"].iloc[0] == part["j"].iloc[0] else part["own"].to_numpy() + 1
-        found = links_in_block(part["doc"].to_numpy(), part["comp"].to_numpy(), side, sets, part["n"].to_numpy(), percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def run(part: pa.Table) -> pa.Table:
+        own, i, j = (part.column(c).to_numpy() for c in ("own", "i", "j"))
+        halves = [np.frombuffer(s.as_buffer(), np.uint32) for s in part.column("halves")]
+        side = np.zeros(len(own), dtype=int) if i[0] == j[0] else own + 1
+        found = links_in_block(part.column("doc").to_numpy(), part.column("comp").to_numpy(), side, halves, part.column("n").to_numpy(), percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -211,15 +222,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     one = seen.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     banded = one.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     heads = banded.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("head"), F.max("doc").alias("high")).where("head.doc != high").select("bucket", F.col("head.doc").alias("lead"), F.col("head.n").alias("lead_n"))
-    members = stored(banded.join(heads, "bucket"), "near-members")
+    members = stored(split_join(banded, heads, "bucket"), "near-members")
     wanted = members.select(F.col("doc").alias("doc_id")).distinct()
     held = stored(contents(docs.join(wanted, "doc_id", "left_semi"), shingle), "near-contents")
-    pairs = members.where((F.col("doc") != F.col("lead")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    links = stored(verified(pairs, held, percent), "near-links")
-    early = components(links)
-    # what the first round left apart
-    placed = members.select("bucket", "doc").join(early.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("comp"))
-    more = stored(verified(across(stored(placed, "near-placed"), held, percent), held, percent), "near-links")
+    behind = members.where(F.col("doc") != F.col("lead"))
+    pairs = behind.where(100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+    early = components(verified(pairs, held, percent))
+    # what the first round left apart; the least member of a bucket has been compared with all others
+    placed = behind.select("bucket", "doc", "n").join(early.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+    more = verified(across(stored(placed, "near-placed"), held, percent), held, percent)
     final = components(early.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     out = seen.select("doc_id", "n_shingles", "key_a", "key_b").join(classes, ["key_a", "key_b", "n_shingles"], "left").join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")))
@@ -228,5 +239,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with their columns, that are the least doc_id of their component."""
-    gone = near_duplicates(docs.select("doc_id", "text"), shingle, percent).where(~F.col("kept")).select(F.col("doc_id").alias("near__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("near__id"), "left_anti")
+    ident = unused(docs.columns, "near_id")[0]
+    gone = near_duplicates(docs.select("doc_id", "text"), shingle, percent).where(~F.col("kept")).select(F.col("doc_id").alias(ident)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(ident), "left_anti")

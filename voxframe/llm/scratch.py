@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def root(spark: SparkSession) -> str:
@@ -32,5 +35,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """names, each with a number behind it where columns have it already, in whatever case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        free = next(n for n in (name, *(f"{name}_{k}" for k in range(1, len(taken) + 2))) if n.lower() not in taken)
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
+def own(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined to right by key, where right is a sum by key. Spark would join in the partitions of that sum, and a hot
+    key's rows of left would stay in one task; dealt by the key and its hash both sides have plain shuffles, which adaptive
+    execution splits."""
+    beside = unused([*left.columns, *right.columns], "dealt")[0]
+    return left.withColumn(beside, F.xxhash64(key)).join(right.withColumn(beside, F.xxhash64(key)), [key, beside], how).drop(beside)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
