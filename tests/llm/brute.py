@@ -86,3 +86,51 @@ def near_components(docs, size, percent=80):
                 a, b = top(d), top(e)
                 up[max(a, b)] = min(a, b)
     return {d: top(d) for d in docs}, {d: len(s) for d, s in sets.items()}
+
+
+def filled(sizes, weights, total, cap):
+    """Shares of total by weight, none over cap times its size; the excess is shared again until none is above."""
+    share, full = [0.0] * len(sizes), set()
+    while True:
+        rest = total - sum(cap * sizes[k] for k in full)
+        weight = sum(w for k, w in enumerate(weights) if k not in full)
+        share = [cap * s if k in full else rest * w / weight for k, (s, w) in enumerate(zip(sizes, weights))]
+        over = {k for k in range(len(sizes)) if k not in full and share[k] > cap * sizes[k]}
+        if not over:
+            return share
+        full |= over
+
+
+def uniform(doc_id, seed):
+    return (int(hashlib.md5(f"{seed}:{doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+
+def mixed(rows, weights=(5, 2, 1), cap=3, lean=4, seed="mix1"):
+    """[(doc_id, source, size)] -> {doc_id: copies}, {doc_id: expected copies}: the Pareto draw by sorting."""
+    names = sorted({s for _, s, _ in rows})
+    size = {s: sum(n for _, x, n in rows if x == s) for s in names}
+    target = dict(zip(names, filled([size[s] for s in names], [weights[k % len(weights)] for k in range(len(names))], sum(size.values()), cap)))
+    out, each = {}, {}
+    for s in names:
+        mine = [(d, n, max(n.bit_length() - 1, 0)) for d, x, n in rows if x == s]
+        classes = sorted({c for _, _, c in mine})
+        words = [sum(n for _, n, x in mine if x == c) for c in classes]
+        want = {c: t / w if w else 0.0 for c, w, t in zip(classes, words, filled(words, [max(w, 1) * (lean + c) for c, w in zip(classes, words)], target[s], cap))}
+        gap, ranks = target[s], []
+        for d, n, c in mine:
+            each[d], out[d] = want[c], int(want[c])
+            gap -= out[d] * n
+            p = want[c] - out[d]
+            if p > 0 and n:
+                u = uniform(d, seed)
+                r = (u / (1 - u)) / (p / (1 - p))
+                ranks.append((r / (r + 1), d, n))
+        ranks.sort()
+        while ranks and ranks[0][2] <= gap:
+            _, d, n = ranks.pop(0)
+            out[d] += 1
+            gap -= n
+        near = min(((abs(n - gap), r, d) for r, d, n in ranks if abs(n - gap) < gap), default=None)
+        if near:
+            out[near[2]] += 1
+    return out, each

@@ -1,8 +1,13 @@
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from voxframe.llm import mixing
 from voxframe.llm.q_mixing import op4_mixing, sql
 
+from brute import mixed, uniform
 from oracle import compare
 
 
@@ -52,3 +57,50 @@ def test_inclusion_follows_the_share_and_the_seed(spark):
     df = spark.createDataFrame([(k, "a", 10) for k in range(400)] + [(1000, "b", 4000)], "doc_id long, source string, size long")
     one, two = ({r.doc_id for r in mixing.mix(df, weights=(1, 3), seed=s).where("source = 'a' and copies > 0").collect()} for s in ("x", "y"))
     assert len(one) == len(two) == 200 and 60 < len(one & two) < 140
+
+
+def some_rows(n=900):
+    rng = random.Random(3)
+    return [(k, "abcd"[min(3, rng.randrange(9))], int(10 ** rng.uniform(0, 3.3))) for k in range(n)]
+
+
+@pytest.mark.parametrize("seed", ["mix1", "other"])
+def test_against_a_sorted_draw(spark, seed):
+    df = spark.createDataFrame(some_rows(), "doc_id long, source string, size long")
+    assert {r.doc_id: r.copies for r in mixing.mix(df, seed=seed).collect()} == mixed(some_rows(), seed=seed)[0]
+
+
+def test_inclusion_probabilities_differ_by_length_and_hold_over_seeds():
+    """Over 200 seeds a length class is taken as often as its expected copies say; longer ones more often. What ends the prefix
+    is a longer document more often than not: with hundreds of documents a source that takes up to 0.02 from a class."""
+    rows, times = some_rows(4000), 200
+    taken: Counter = Counter()
+    for k in range(times):
+        got, each = mixed(rows, seed=str(k))
+        taken.update(got)
+    by_class: dict = {}
+    for d, s, n in rows:
+        by_class.setdefault((s, n.bit_length()), []).append((taken[d] / times, each[d]))
+    for have in by_class.values():
+        if len(have) >= 10:
+            assert abs(sum(h - e for h, e in have) / len(have)) < 0.03
+    share = {c: have[0][1] for (s, c), have in by_class.items() if s == "d"}
+    assert len({round(v, 6) for v in share.values()}) > 3 and share[max(share)] > share[min(share)]
+
+
+def test_rows_without_doc_id_draw_from_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"w{k} " * 5, "a") for k in range(200)] + [(1, "x " * 1000, "b")], "doc_id long, text string, source string")
+    out = mixing.apply(docs, weights=(1, 3))
+    assert out.columns == docs.columns and 80 <= out.where("source = 'a'").count() <= 120
+
+
+def test_columns_named_like_the_operators_own_keep_their_values(spark):
+    names = ["mixed", "u", "class", "copies", "rank", "open", "sure", "cut", "pick", "of", "in", "size", "mix__0", "mix__copy"]
+    docs = spark.createDataFrame([(k, f"w{k} " * 9, f"s{k % 2}", *[7] * len(names)) for k in range(60)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = mixing.apply(docs)
+    assert out.columns == docs.columns and out.count() > 0 and all(out.where(f"`{n}` != 7").count() == 0 for n in names)
+
+
+def test_uniform_is_that_of_the_plain_version(spark):
+    got = spark.range(50).select("id", mixing.uniform(F.col("id"), F.lit(None).cast("string"), "s").alias("u")).collect()
+    assert all(r.u == uniform(r.id, "s") for r in got)
