@@ -57,3 +57,22 @@ def test_repeats_within_one_document(spark):
     t = "\n".join(["a1", "b2", "c3", "d4", "e5", "f6", "g7", "h8"] * 6)
     r = L.dedup(spark.createDataFrame([(1, t), (1, t)], "doc_id long, text string")).collect()
     assert r[0] == r[1] and 0 < r[0].lines_removed < 48
+
+
+def test_rows_with_equal_ids_and_other_texts_lose_nothing_of_their_own(spark):
+    rng = random.Random(4)
+    block = "\n".join(f"shared {rng.random()}" for _ in range(30))
+    texts = [(1, block), (2, block), (2, "unique one\nunique two\n" + "\n".join(f"mine {rng.random()}" for _ in range(40))), (2, None)]
+    got = sorted(((r.doc_id, r.text) for r in L.dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()), key=str)
+    kept = [t for d, t in got if d == 2]
+    assert (1, block) in got and texts[2][1] in kept and None in kept
+    assert sum(len(t or "") for t in kept) < len(block) * 0.3 + len(texts[2][1])
+
+
+def test_columns_named_like_the_operators_own_keep_their_values(spark):
+    names = ["chunks_removed", "lines_removed", "lines__gone", "lines__id", "lines_id", "lines_key", "lines_gone", "lines_new", "key", "k", "h", "chunk", "Gone"]
+    block = "\n".join(f"shared {k * 7919 % 1000}" for k in range(40))
+    docs = spark.createDataFrame([(k, block, *[7] * len(names)) for k in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = L.dedup(docs)
+    assert out.columns == [*docs.columns, "chunks_removed_1", "lines_removed_1"] and all(out.where(f"`{n}` = 7").count() == 3 for n in names)
+    assert [r.chunks_removed_1 > 0 for r in out.orderBy("doc_id").collect()] == [False, True, True]

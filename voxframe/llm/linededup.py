@@ -6,8 +6,9 @@ two or more lines that occur more than once, all but the first, by doc_id and pl
 candidates; the chunks' bytes, as grouping and join keys, decide.
 
 Edge cases: a null text stays null; an empty text is one empty line; a text may end up empty and its row stays. Rows with a
-null doc_id are left as they are. Rows with equal doc_id count as one document: their equal chunks are the same place.
-Other columns pass through, whatever their names.
+null doc_id are left as they are. Rows with equal doc_id and text are one document, whose chunks are the same place; of rows
+with equal doc_id and different texts the order is that of a hash of the text. Other columns pass through, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.scratch import stored
+from voxframe.llm.scratch import own, stored, unused
 
 PRIME, NOW, BEFORE = 2**31 - 1, 1_000_003, 654_435_761
 
@@ -55,29 +56,37 @@ def chunks(text: Column) -> Column:
     return F.when(text.isNotNull(), bind(F.split(text, "\n", -1), cut))
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows with equal doc_id and different texts apart."""
+    return F.xxhash64(text)
+
+
 def repeated(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, gone: the k of its chunks that occur earlier."""
-    each = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.filter(chunks(F.col("text")), lambda c: c.lines >= 2)).alias("c")).select("doc_id", F.col("c.k").alias("k"), F.col("c.text").alias("chunk"))
-    each = each.withColumn("h", F.xxhash64("chunk"))
-    place = F.struct("doc_id", "k")
+    """docs(doc_id, text) -> doc_id, key (text_key), gone: the k of its chunks that occur earlier."""
+    each = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_key(F.col("text")).alias("key"), F.explode(F.filter(chunks(F.col("text")), lambda c: c.lines >= 2)).alias("c"))
+    each = each.select("doc_id", "key", F.col("c.k").alias("k"), F.col("c.text").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
+    place = F.struct("doc_id", "key", "k")
     # stored, and merged at every size: both joins have plain shuffles on both sides, so a chunk that very many documents
     # share is split
     often = stored(each.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("h"), "lines-often")
     candidates = stored(each.join(often.hint("merge"), "h", "left_semi"), "lines-candidates")
     # grouping and joining by the bytes themselves is the comparison
     first = stored(candidates.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "chunk", "first"), "lines-first")
-    later = candidates.join(first.hint("merge"), ["h", "chunk"]).where(F.struct("doc_id", "k") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("k")).alias("gone"))  # one document's chunks
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with the repeated chunks cut from text; columns chunks_removed and lines_removed follow those of docs."""
-    gone = repeated(docs.select(F.col("doc_id"), F.col("text"))).select(F.col("doc_id").alias("lines__id"), F.col("gone").alias("lines__gone"))
-    both = docs.join(gone, F.col("doc_id") == F.col("lines__id"), "left").drop("lines__id")
-    split = F.when(F.col("lines__gone").isNotNull(), bind(chunks(F.col("text")), lambda all_: F.struct(
-        F.array_join(F.transform(F.filter(all_, lambda c: ~F.array_contains(F.col("lines__gone"), c.k)), lambda c: c.text), "\n").alias("text"),
-        F.aggregate(F.filter(all_, lambda c: F.array_contains(F.col("lines__gone"), c.k)), F.lit(0), lambda n, c: n + c.lines).alias("lines"),
+    later = candidates.join(first.hint("merge"), ["h", "chunk"]).where(place != F.col("first"))
+    return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("k")).alias("gone"))  # one document's chunks
+
+
+def dedup(docs: DataFrame, counts: tuple[str, str] = ("chunks_removed", "lines_removed")) -> DataFrame:
+    """docs with the repeated chunks cut from text, and behind its columns the numbers of chunks and lines removed, named as
+    counts says; a number stands behind a name that docs has already."""
+    ident, key, gone, new = unused(docs.columns, "lines_id", "lines_key", "lines_gone", "lines_new")
+    chunk_count, line_count = unused(docs.columns, *counts)
+    found = repeated(docs.select("doc_id", "text")).select(F.col("doc_id").alias(ident), F.col("key").alias(key), F.col("gone").alias(gone))
+    both = docs.join(found, (F.col("doc_id") == F.col(ident)) & (text_key(F.col("text")) == F.col(key)), "left")
+    split = F.when(F.col(gone).isNotNull(), bind(chunks(F.col("text")), lambda all_: F.struct(
+        F.array_join(F.transform(F.filter(all_, lambda c: ~F.array_contains(F.col(gone), c.k)), lambda c: c.text), "\n").alias("text"),
+        F.aggregate(F.filter(all_, lambda c: F.array_contains(F.col(gone), c.k)), F.lit(0), lambda n, c: n + c.lines).alias("lines"),
     )))
-    both = both.withColumn("lines__new", split)
-    own = [F.when(F.col("lines__gone").isNotNull(), F.col("lines__new.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return both.select(*own, F.coalesce(F.size("lines__gone"), F.lit(0)).cast("long").alias("chunks_removed"), F.coalesce(F.col("lines__new.lines"), F.lit(0)).cast("long").alias("lines_removed"))
+    both = both.withColumn(new, split)
+    left = [F.when(F.col(gone).isNotNull(), F.col(new).text).otherwise(F.col("text")).alias("text") if name == "text" else c for name, c in zip(docs.columns, own(docs))]
+    return both.select(*left, F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(chunk_count), F.coalesce(F.col(new).lines, F.lit(0)).cast("long").alias(line_count))
