@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxframe.llm import linededup, mixing, neardup, packing, quality
 from voxframe.llm.q_packing import vocabulary
-from voxframe.llm.scratch import stored
+from voxframe.llm.scratch import own, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without repeated chunks of lines; n_chars follows the text."""
     out = linededup.dedup(docs)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("chunks_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        removed = F.col(out.columns[len(docs.columns)])
+        out = out.withColumn("n_chars", F.when(removed > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*own(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
