@@ -79,3 +79,54 @@ def test_fitting_learns_emissions_and_transitions():
     chain = crf.fit(np.array(x), np.array(y), lengths)
     assert chain.step[0, 0] + chain.step[1, 1] > chain.step[0, 1] + chain.step[1, 0]
     assert (chain.decode(np.array(x), np.array(lengths)) == np.array(y)).mean() > 0.85
+
+
+def held_out(seed, n):
+    """Documents of other makes than the built-in sample's: real words, menus and notices between paragraphs, with a label for
+    each line."""
+    rng = random.Random(seed)
+    spell = lambda: "".join(rng.choice("bdfgklmprstv") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    say = lambda: " ".join(spell() + ("," if rng.random() < 0.1 else "") for _ in range(rng.randint(8, 40))).capitalize() + "."
+    junk = [
+        lambda: " | ".join(["Home", "News", "Sports", "Weather", "Contact", "Login"][: rng.randint(4, 6)]),
+        lambda: "BUY NOW!!! " * rng.randint(2, 5),
+        lambda: "$$$ ### cheap*** " * rng.randint(2, 6),
+        lambda: "click click click click here here here here " * 2,
+    ]
+    texts, labels = [], []
+    for _ in range(n):
+        lines, marks = [], []
+        for _ in range(rng.randint(3, 6)):
+            if rng.random() < 0.6:
+                for _ in range(rng.randint(1, 3)):
+                    lines.append(rng.choice(junk)())
+                    marks.append(0)
+            for _ in range(rng.randint(1, 4)):
+                lines.append(say())
+                marks.append(1)
+        texts.append("\n".join(lines))
+        labels.append(marks)
+    return texts, labels
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_boilerplate_lines_in_good_documents_are_marked(spark, sf_dir, labelled):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(spark, docs, labels if labelled else None)
+    texts, want = held_out(3, 120)
+    got: dict = {}
+    for r in quality.label_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect():
+        got[r.doc_id, r.line_no] = r.is_content
+    pairs = [(got[d, k], bool(y)) for d, marks in enumerate(want) for k, y in enumerate(marks)]
+    assert np.mean([g == y for g, y in pairs]) > 0.95
+    assert np.mean([g for g, y in pairs if not y]) < 0.1 and np.mean([g for g, y in pairs if y]) > 0.95
+
+
+def test_labels_change_inside_documents(spark, documents, sf_dir):
+    model = quality.train(spark, documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kinds = quality.label_lines(documents, model).groupBy("doc_id").agg({"is_content": "max", "line_no": "count"}).count()
+    both = quality.label_lines(documents, model).groupBy("doc_id").pivot("is_content", [True, False]).count().where("`true` > 0 and `false` > 0").count()
+    print(f"{both} of {kinds} documents have lines of both labels")
+    assert both >= 0.005 * kinds
+    sample, marks = quality.built_in_sample()
+    assert sum(len(set(m)) == 2 for m in marks) > 0.5 * len(marks)
