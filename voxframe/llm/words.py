@@ -16,7 +16,7 @@ BASE, WIDE = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BYTE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
