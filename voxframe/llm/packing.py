@@ -55,11 +55,11 @@ def encoder(path: str):
     ranks = {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the byte-level splitter
     fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(path)
+    slow = functools.cache(lambda: Tokenizer.from_file(path))  # tens of MB that few workers need
 
     def ids(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return np.array(slow().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
 
     return ids
