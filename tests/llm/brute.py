@@ -105,7 +105,7 @@ def uniform(doc_id, seed):
     return (int(hashlib.md5(f"{seed}:{doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
 
 
-def mixed(rows, weights=(5, 2, 1), cap=3, lean=4, seed="mix1"):
+def mixed(rows, weights=(5, 2, 1), cap=3, lean=16, seed="mix1"):
     """[(doc_id, source, size)] -> {doc_id: copies}, {doc_id: expected copies}: the Pareto draw by sorting."""
     names = sorted({s for _, s, _ in rows})
     size = {s: sum(n for _, x, n in rows if x == s) for s in names}

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from voxframe.llm.scratch import own, stored, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, CAP, LEAN, BUCKETS, LEVELS, SEED = (5, 2, 1), 3, 4, 1024, 2, "mix1"
+WEIGHTS, CAP, LEAN, BUCKETS, LEVELS, SEED = (5, 2, 1), 3, 16, 1024, 2, "mix1"
 
 
 def words_in(text: Column) -> Column:
