@@ -131,3 +131,34 @@ def test_many_unclosed_elements_take_linear_time():
     for tag in ("svg", "template", "noscript"):
         assert X.blocks(f"<{tag}>" * 50_000 + "x")[0][0] == "x"
     assert time.monotonic() - start < 20
+
+
+P1 = "The harbour was quiet when the first boats came in, and nobody on the pier spoke of the storm."
+P2 = "By noon the market had opened; fishermen sold what they had, and the rest went to the smokehouse."
+HAND_WRITTEN = [
+    # a plain old page without classes
+    (f"<html><head><title>t</title></head><body><p>{P1}<p>{P2}</body></html>", f"{P1}\n{P2}"),
+    # utility classes of any length around a marked article
+    (f"<body><div class='{'x1 ' * 90}sidebar'><p>Most read</p><p>Ten boats</p></div><article class='{'p-4 ' * 90}'><h1>Harbour news</h1><p>{P1}</p><p>{P2}</p></article></body>", f"Harbour news\n{P1}\n{P2}"),
+    # menus and a footer in lists, comments below
+    (f"<body><nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav><main><h1>Harbour news</h1><p>{P1}</p><ul><li>three boats</li><li>two crews</li></ul><p>{P2}</p></main><section class='comments'><h2>Comments</h2><div class='comment'><p>I was there too.</p></div></section><footer><p>&copy; 2020 Harbour Post. All rights reserved.</p></footer></body>", f"Harbour news\n{P1}\nthree boats\ntwo crews\n{P2}"),
+    # a consent box and a form inside the article's wrapper
+    (f"<body><div id='content'><h1>Harbour news</h1><p>{P1}</p><div class='cookie-banner'><p>We use cookies.</p><button>Accept</button></div><form class='newsletter'><label>Subscribe</label><button>Go</button></form><p>{P2}</p></div></body>", f"Harbour news\n{P1}\n{P2}"),
+]
+
+
+def test_pages_written_by_hand():
+    model = X.built_in_model()
+    for html, want in HAND_WRITTEN:
+        found = X.blocks(html)
+        label = model.decode(X.features(found, [len(found)]), np.array([len(found)]))
+        assert "\n".join(b[0] for b, k in zip(found, label) if k) == want
+
+
+def test_a_word_of_the_site_in_a_long_paragraph_does_not_lose_it():
+    """Paragraphs of every length, at both sides of any bound, with a word like those of notices in them."""
+    model = X.built_in_model()
+    for n in (1, 3, 4, 5, 8, 30):
+        body = " ".join([P1, P2] * n) + " The council asked for comments and would share the answers."
+        found = X.blocks(f"<body><article><h1>Harbour news</h1><p>{body}</p><p>{P2}</p></article></body>")
+        assert model.decode(X.features(found, [len(found)]), np.array([len(found)])).tolist() == [1, 1, 1]

@@ -5,7 +5,8 @@ ancestors and a few facts of its text. The model is trained on labelled pages; t
 ways in which pages are put together. Edge cases: null, empty and tagless pages are handled (a page without tags is one
 block); unclosed and stray tags are tolerated as browsers do; nothing is dropped or capped but what the model rejects, the
 raw text of scripts and the like (RAW) and what is drawn or inert (HIDING). One of HIDING that is not closed ends where its
-parent closes, an svg also at a block-level tag; if nothing ends it, its text counts.
+parent closes, an svg also at a block-level tag; if nothing ends it, its text counts. A heading that lies in the body itself, in no
+marked element, or that a notice parts from all else of the article, may be taken for the site's.
 """
 
 from __future__ import annotations
@@ -55,6 +56,9 @@ BITS = 30
 HOLDERS = {t: k for k, g in enumerate(["h1 h2 h3 h4 h5 h6", "p", "li dt dd", "td th caption", "div section article main body html", "blockquote pre", "button label option legend summary"]) for t in g.split()}
 HINTS = re.compile(r"cookie|privacy|subscri|newsletter|log ?in|sign ?(?:in|up)|comment|advert|sponsor|copyright|all rights|share|follow us|©", re.IGNORECASE)
 
+#: One such word in so many characters counts in full, in more in proportion.
+HINT_CHARS = 60
+
 
 class Block:
     __slots__ = ("parts", "mask", "holder", "links")
@@ -197,7 +201,7 @@ def features(found: list[tuple[str, int, int, float]], lengths: list[int]) -> np
             [b[3] for b in found],
             [b[3] > 0.6 for b in found],
             [b[0][-1] in ".!?…:;\"'»”" for b in found],
-            [bool(HINTS.search(b[0])) if len(b[0]) < 400 else False for b in found],
+            [min(1.0, HINT_CHARS * sum(1 for _ in HINTS.finditer(b[0])) / len(b[0])) for b in found],
             np.concatenate([np.arange(k) / max(k, 1) for k in lengths]),
             mask == 0,
         ]
@@ -225,6 +229,8 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
 
     def put(tag: str, text: str, label: int, names: str = "") -> None:
         close = "" if tag == "p" and rng.random() < 0.2 else f"</{tag}>"
+        if rng.random() < (0.04 if label else 0.12):
+            text += " " + pick(["Cookie policy", "subscribe", "log in", "share", "comments", "privacy", "advertisement", "follow us", "newsletter"])
         inner = pick(["{}", "{}", "{}", "<b>{}</b>", "<span>{}</span>", "<em>{}", "<b>{}<br>"]).format(text)
         out.append(f"<{tag}{names}>{inner}{close}")
         marks.append(label)

@@ -49,7 +49,7 @@ pequeno mejor dijo rojo viejo hijo abajo voz luz paz vez diez feliz lapiz quizas
 def labelled_samples(n: int = 4000, seed: int = 17) -> list[tuple[str, int]]:
     """Random strings of the usual alphabets, and identifiers, words and rules as people and programs write them."""
     rng = random.Random(seed)
-    words = "get set user name list file path node value index count total page link view test data base time date year size type code line text word next last first open close read write send load save item order price customer region part supplier event document table column query join group filter window frame track state segment the and for with from this that are was of to in on is as by be it or an at un une des les que est pour par avec der die das und mit von sich nicht el la los del con para".split()
+    words = "get set user name list file path node value index count total page link view test data base time date year size type code line text word next last first open close read write send load save item order price buyer place part seller change record table column question join group filter window frame track state segment the and for with from this that are was of to in on is as by be it or an at un une des les que est pour par avec der die das und mit von sich nicht el la los del con para".split()
     prose = PROSE.split()
     out, more = [], []
     for k in range(n):
