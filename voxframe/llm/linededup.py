@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.scratch import own, stored, unused
+from voxframe.llm.scratch import own, split_join, stored, unused
 
 PRIME, NOW, BEFORE = 2**31 - 1, 1_000_003, 654_435_761
 
@@ -66,13 +66,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     each = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_key(F.col("text")).alias("key"), F.explode(F.filter(chunks(F.col("text")), lambda c: c.lines >= 2)).alias("c"))
     each = each.select("doc_id", "key", F.col("c.k").alias("k"), F.col("c.text").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
     place = F.struct("doc_id", "key", "k")
-    # stored, and merged at every size: both joins have plain shuffles on both sides, so a chunk that very many documents
-    # share is split
-    often = stored(each.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("h"), "lines-often")
-    candidates = stored(each.join(often.hint("merge"), "h", "left_semi"), "lines-candidates")
+    often = each.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("h")
+    # merged at every size: a chunk that very many documents share is split, and no table of chunks is broadcast
+    candidates = stored(split_join(each, often.hint("merge"), "h", "left_semi"), "lines-candidates")
     # grouping and joining by the bytes themselves is the comparison
-    first = stored(candidates.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "chunk", "first"), "lines-first")
-    later = candidates.join(first.hint("merge"), ["h", "chunk"]).where(place != F.col("first"))
+    first = candidates.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "chunk", "first")
+    later = split_join(candidates, first.hint("merge"), ["h", "chunk"]).where(place != F.col("first"))
     return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("k")).alias("gone"))  # one document's chunks
 
 

@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """docs(doc_id, text) -> doc_id, n_shingles, class_id (least doc_id with the same set), component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = stored(sketch(docs, shingle), "near-sketch")
-    classes = stored(seen.where("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("class_id")), "near-classes")
+    classes = seen.where("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     one = seen.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     banded = one.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     heads = banded.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("head"), F.max("doc").alias("high")).where("head.doc != high").select("bucket", F.col("head.doc").alias("lead"), F.col("head.n").alias("lead_n"))
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     placed = behind.select("bucket", "doc", "n").join(early.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("comp"))
     more = verified(across(stored(placed, "near-placed"), held, percent), held, percent)
     final = components(early.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    out = seen.select("doc_id", "n_shingles", "key_a", "key_b").join(classes, ["key_a", "key_b", "n_shingles"], "left").join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
+    out = split_join(seen.select("doc_id", "n_shingles", "key_a", "key_b"), classes, ["key_a", "key_b", "n_shingles"], "left").join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")))
     return out.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -50,12 +50,13 @@ def own(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """left joined to right by key, where right is a sum by key. Spark would join in the partitions of that sum, and a hot
     key's rows of left would stay in one task; dealt by the key and its hash both sides have plain shuffles, which adaptive
     execution splits."""
+    keys = [key] if isinstance(key, str) else key
     beside = unused([*left.columns, *right.columns], "dealt")[0]
-    return left.withColumn(beside, F.xxhash64(key)).join(right.withColumn(beside, F.xxhash64(key)), [key, beside], how).drop(beside)
+    return left.withColumn(beside, F.xxhash64(*keys)).join(right.withColumn(beside, F.xxhash64(*keys)), [*keys, beside], how).drop(beside)
 
 
 def partitions(spark: SparkSession) -> int:
