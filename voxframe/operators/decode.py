@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,66 +91,81 @@ def model(tuning: Tuning = Tuning(), least: dict[str, int] | None = None, step:
 
 
 def viterbi(scores: list[np.ndarray], m: Model) -> list[np.ndarray]:
-    """Best state of each frame for each recording (frames x 5). All recordings step together; ties go to the lower state."""
-    order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
-    lengths = np.array([len(scores[k]) for k in order])
-    if not len(order) or not lengths[0]:
-        return [np.zeros(0, np.int8) for _ in scores]
-    emit = np.full((len(order), lengths[0], scores[0].shape[1]), 0.0)
-    for i, k in enumerate(order):
-        emit[i, : lengths[i]] = scores[k]
-    live = (lengths[None, :] > np.arange(lengths[0])[:, None]).sum(1)
-    best = m.first + emit[:, 0][:, m.base]
-    back = np.zeros((lengths[0], len(order), len(m.base)), dtype=np.int16)
-    for t in range(1, lengths[0]):
-        n = live[t]
-        come = best[:n, :, None] + m.step
-        back[t, :n] = come.argmax(1)
-        best[:n] = come.max(1) + emit[:n, t][:, m.base]
-    state = best.argmax(1)
-    path = np.zeros((len(order), lengths[0]), dtype=np.int8)
-    for t in range(lengths[0] - 1, -1, -1):
-        n = live[t]
-        path[:n, t] = m.base[state[:n]]
-        if t:
-            state[:n] = back[t, np.arange(n), state[:n]]
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
-    for i, k in enumerate(order):
-        out[k] = path[i, : lengths[i]]
-    return out
+    """Best state of each frame for each recording (frames x 5). All recordings step together; ties go to the lower state.
+    Nothing is padded: memory follows the frames, however the lengths are mixed."""
+    lengths = np.array([len(s) for s in scores], dtype=np.int64)
+    out = np.zeros(int(lengths.sum()), dtype=np.int8)
+    begin = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    if len(order):
+        emit, first, size = np.concatenate(scores), begin[order], lengths[order]
+        live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # recordings longer than t
+        best = m.first + emit[first][:, m.base]
+        back = [np.zeros((0, len(m.base)), np.int8)]
+        for t in range(1, size[0]):
+            n = live[t]
+            come = best[:n, :, None] + m.step
+            back.append(come.argmax(1).astype(np.int8 if len(m.base) < 128 else np.int32))
+            best[:n] = come.max(1) + emit[first[:n] + t][:, m.base]
+        state = best.argmax(1)
+        for t in range(size[0] - 1, -1, -1):
+            n = live[t]
+            out[first[:n] + t] = m.base[state[:n]]
+            if t:
+                state[:n] = back[t][np.arange(n), state[:n]]
+    return [out[a : a + n] for a, n in zip(begin, lengths)]
+
+
+def _recordings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each recording, which lie side by side; a null id is one recording."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        cut = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cut, cut[1:]):
+            if held and held[-1].column(0)[0].as_py() != batch.column(0)[a].as_py():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def decode_all(scores: DataFrame, models: dict[int, Model]) -> DataFrame:
+    """scores(rec, frame, s_sil, s_a, s_b, s_ovl, s_leak) -> candidate, rec, frame, state, for each of some models by its
+    number. One shuffle by rec, whatever the number of models; a task holds about BATCH_FRAMES frames at a time, and one
+    recording at least. Rows with a null rec are one recording."""
+    kind = scores.schema["rec"].dataType
+
+    def solve(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_tables(held).combine_chunks()
+        parts = [np.column_stack([t.column(k).to_numpy() for k in range(2, 7)]) for t in held]
+        for number, m in models.items():
+            state = pa.array(np.array(m.names, dtype=object)[np.concatenate(viterbi(parts, m))], pa.string())
+            yield from pa.table([pa.array(np.full(len(state), number, np.int32)), rows.column(0), rows.column(1), state], names=["candidate", "rec", "frame", "state"]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+        for one in _recordings(batches):
+            held.append(one)
+            size += one.num_rows
+            if size >= BATCH_FRAMES:
+                yield from solve(held)
+                held, size = [], 0
+        if held:
+            yield from solve(held)
+
+    dealt = scores.select("rec", F.col("frame").cast("long").alias("frame"), *(F.col(c).cast("double").alias(c) for c in ("s_sil", "s_a", "s_b", "s_ovl", "s_leak"))).repartition("rec").sortWithinPartitions("rec", "frame")
+    return dealt.mapInArrow(run, f"candidate int, rec {kind.simpleString()}, frame long, state string")
 
 
 def decode(scores: DataFrame, tuning: Tuning = Tuning(), least: dict[str, int] | None = None, step: dict[tuple[str, str], float] | None = None, initial: dict[str, float] | None = None) -> DataFrame:
-    """scores(rec, frame, s_sil, s_a, s_b, s_ovl, s_leak) -> rec, frame, state. One shuffle by rec; a task holds about
-    BATCH_FRAMES frames at a time, and one recording at least."""
-    m = model(tuning, least, step, initial)
-    names = np.array(m.names, dtype=object)
-
-    def solve(held: list[pd.DataFrame]) -> pd.DataFrame:
-        paths = viterbi([p[["s_sil", "s_a", "s_b", "s_ovl", "s_leak"]].to_numpy() for p in held], m)
-        return pd.DataFrame({"rec": np.concatenate([p["rec"].to_numpy() for p in held]), "frame": np.concatenate([p["frame"].to_numpy() for p in held]), "state": names[np.concatenate(paths)]})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: list[pd.DataFrame] = []
-        open_: list[pd.DataFrame] = []
-        size = 0
-        for batch in batches:
-            for _, part in batch.groupby("rec", sort=False):
-                if open_ and open_[0]["rec"].iloc[0] != part["rec"].iloc[0]:
-                    done.append(pd.concat(open_) if len(open_) > 1 else open_[0])
-                    size += len(done[-1])
-                    open_ = []
-                    if size >= BATCH_FRAMES:
-                        yield solve(done)
-                        done, size = [], 0
-                open_.append(part)
-        if open_:
-            done.append(pd.concat(open_) if len(open_) > 1 else open_[0])
-        if done:
-            yield solve(done)
-
-    rec = scores.schema["rec"].dataType.simpleString()
-    return scores.select("rec", "frame", "s_sil", "s_a", "s_b", "s_ovl", "s_leak").repartition("rec").sortWithinPartitions("rec", "frame").mapInPandas(run, f"rec {rec}, frame long, state string")
+    """scores(rec, frame, s_sil, s_a, s_b, s_ovl, s_leak) -> rec, frame, state: decode_all for one model."""
+    return decode_all(scores, {0: model(tuning, least, step, initial)}).drop("candidate")
 
 
 def step_table(spark: SparkSession, tuning: Tuning = Tuning()) -> DataFrame:

@@ -65,11 +65,16 @@ def recognised(raw: DataFrame) -> DataFrame:
 
 
 def merge_adjacent(segments: DataFrame) -> DataFrame:
-    """Without empty texts, and without repeats of the segment before in text and times."""
+    """Without empty texts, and without repeats, in text and times, of the last segment that was kept. Only neighbours with
+    one text and starts side by side can repeat each other, so the fold runs over such runs, not over recordings."""
     order = W.partitionBy("rec").orderBy("start_time", "end_time", "text")
-    near = lambda c: F.abs(F.col(c) - F.lag(c).over(order)) < F.lit(SAME_S)
-    live = segments.where(F.trim("text") != "")
-    return live.withColumn("adj__same", F.coalesce(near("start_time") & near("end_time") & (F.col("text") == F.lag("text").over(order)), F.lit(False))).where(~F.col("adj__same")).drop("adj__same")
+    apart = (F.col("text") != F.lag("text").over(order)) | (F.col("start_time") - F.lag("start_time").over(order) >= F.lit(SAME_S))
+    live = segments.where(F.trim("text") != "").select(F.struct("*").alias("row"), "rec", "text", "start_time", "end_time")
+    runs = live.withColumn("run", F.count_if(F.coalesce(apart, F.lit(True))).over(order))
+    ordered = F.array_sort(F.collect_list(F.struct("start_time", "end_time", "row")))  # segments that all but coincide
+    near = lambda a, b: (F.abs(a.start_time - b.start_time) < F.lit(SAME_S)) & (F.abs(a.end_time - b.end_time) < F.lit(SAME_S))
+    kept = F.aggregate("all", F.slice("all", 1, 1), lambda held, x: F.when(near(F.element_at(held, -1), x), held).otherwise(F.concat(held, F.array(x))))
+    return runs.groupBy("rec", "run").agg(ordered.alias("all")).select(F.explode(kept).alias("x")).select("x.row.*")
 
 
 def transcribe(chunks: DataFrame, backend: Callable[[], Callable[[dict], list[tuple[float, float, str]]]]) -> DataFrame:

@@ -17,11 +17,17 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxframe.sources import files
 from voxframe.sources.config import RunConfig
 
 VERSION = "1"
 
 
+def new_run_id() -> str:
+    """Sorts by time, and does not repeat."""
+    return f"{datetime.now(timezone.utc):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
+
+
 @dataclass
 class Record:
     step: str
@@ -37,7 +43,7 @@ class Report:
     """What happened to each step; the last record of a step counts. Events go to a JSON-lines file if asked."""
 
     def __init__(self, config: RunConfig = RunConfig(), run_id: str | None = None):
-        self.config, self.run_id = config, run_id or uuid.uuid4().hex[:10]
+        self.config, self.run_id = config, run_id or new_run_id()
         self.records: list[Record] = []
 
     def add(self, record: Record) -> None:
@@ -161,12 +167,15 @@ class Registry:
 
 
 def plain(value: Any) -> Any:
-    """value as JSON can state it, for hashing: paths with the size and time of their file, DataFrames by their plan."""
+    """value as JSON can state it, for hashing: paths with the size and time of their file, DataFrames by their plan and all
+    files that it reads, each with size and time. Of rows that a plan holds itself only Spark's hash of the plan tells."""
     if isinstance(value, Path):
         stat = value.stat() if value.exists() else None
         return {"path": str(value.resolve()), "size": stat and stat.st_size, "mtime": stat and stat.st_mtime}
     if isinstance(value, DataFrame):
-        return {"plan": value.semanticHash(), "files": sorted(value.inputFiles())[:1000], "schema": value.schema.json()}
+        shape = value._jdf.queryExecution().optimizedPlan().canonicalized().toString()
+        read = hashlib.sha256(json.dumps(files.identities(value.sparkSession, value.inputFiles())).encode()).hexdigest()
+        return {"plan": [value.semanticHash(), hashlib.sha256(shape.encode()).hexdigest()], "files": read, "schema": value.schema.json()}
     if is_dataclass(value) and not isinstance(value, type):
         return plain(asdict(value))
     if isinstance(value, Mapping):
@@ -181,40 +190,43 @@ def digest(value: Any) -> str:
 
 
 class Store:
-    """Step results by hash: DataFrames as Parquet, the rest as JSON. root is a path that Spark and the driver can write."""
+    """Step results by hash: DataFrames as Parquet, the rest as JSON. root is a path on any file system that Spark reaches;
+    nothing is written but through Spark and Hadoop."""
 
     def __init__(self, spark: SparkSession, root: str | Path):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root = spark, str(root).rstrip("/")
+
+    def folder(self, key: str) -> str:
+        return f"{self.root}/cache/{key}"
 
     def key(self, step: Step, inputs: Mapping[str, str]) -> str:
         return digest({"version": VERSION, "step": step.name, "inputs": dict(inputs), "parameters": dict(step.parameters)})
 
     def has(self, key: str) -> bool:
-        return (self.root / "cache" / key / "meta.json").exists()
+        return files.exists(self.spark, f"{self.folder(key)}/meta.json")
 
     def save(self, key: str, step: Step, inputs: Mapping[str, str], result: Mapping[str, Any]) -> dict[str, Any]:
-        folder = self.root / "cache" / key
-        folder.mkdir(parents=True, exist_ok=True)
         kinds = {}
         for name, value in result.items():
             kinds[name] = "table" if isinstance(value, DataFrame) else "json"
             if isinstance(value, DataFrame):
-                value.write.mode("overwrite").parquet(f"{folder}/{name}")
+                value.write.mode("overwrite").parquet(f"{self.folder(key)}/{name}")
             else:
-                (folder / f"{name}.json").write_text(json.dumps(value))
+                files.write_text(self.spark, f"{self.folder(key)}/{name}.json", json.dumps(value))
         meta = {"step": step.name, "inputs": dict(inputs), "parameters": plain(step.parameters), "timestamp": time.time(), "version": VERSION, "kinds": kinds}
-        (folder / "meta.json").write_text(json.dumps(meta, indent=2, sort_keys=True))  # last: a result without it is not whole
+        # last: a result without it is not whole
+        files.write_text(self.spark, f"{self.folder(key)}/meta.json", json.dumps(meta, indent=2, sort_keys=True))
         return self.load(key)
 
     def load(self, key: str) -> dict[str, Any]:
-        folder = self.root / "cache" / key
-        kinds = json.loads((folder / "meta.json").read_text())["kinds"]
-        return {n: self.spark.read.parquet(f"{folder}/{n}") if k == "table" else json.loads((folder / f"{n}.json").read_text()) for n, k in kinds.items()}
+        folder = self.folder(key)
+        kinds = json.loads(files.read_text(self.spark, f"{folder}/meta.json"))["kinds"]
+        return {n: self.spark.read.parquet(f"{folder}/{n}") if k == "table" else json.loads(files.read_text(self.spark, f"{folder}/{n}.json")) for n, k in kinds.items()}
 
 
 def run_graph(registry: Registry, store: Store, state: Mapping[str, Any], targets: tuple[str, ...], run_id: str | None = None) -> dict[str, Any]:
     """Runs what targets need; results that are stored are taken. Records of the run are written however it ends."""
-    run_id = run_id or uuid.uuid4().hex
+    run_id = run_id or new_run_id()
     state = dict(state)
     hashes = {k: digest(v) for k, v in state.items()}
     log: list[dict[str, Any]] = []
@@ -244,15 +256,14 @@ def run_graph(registry: Registry, store: Store, state: Mapping[str, Any], target
             hashes |= {o: key for o in step.outputs}
         return state
     finally:
-        folder = store.root / "runs" / run_id
-        folder.mkdir(parents=True, exist_ok=True)
         ok = all(e["status"] != "failed" for e in log)
         made = {o: e["hash"] for e in log if e["status"] != "failed" for o in e["outputs"]}
-        (folder / "pipeline_summary.json").write_text(json.dumps({"run_id": run_id, "status": "ok" if ok else "failed", "step_count": len(log), "target_outputs": list(targets), "artifacts_produced": made}, indent=2, sort_keys=True))
-        (folder / "step_logs.json").write_text(json.dumps(log, indent=2, sort_keys=True))
+        summary = {"run_id": run_id, "status": "ok" if ok else "failed", "step_count": len(log), "target_outputs": list(targets), "artifacts_produced": made}
+        files.write_text(store.spark, f"{store.root}/runs/{run_id}/pipeline_summary.json", json.dumps(summary, indent=2, sort_keys=True))
+        files.write_text(store.spark, f"{store.root}/runs/{run_id}/step_logs.json", json.dumps(log, indent=2, sort_keys=True))
 
 
-def summarize_run(root: str | Path, run_id: str) -> dict[str, Any]:
-    folder = Path(root) / "runs" / run_id
-    summary, log = (json.loads((folder / f).read_text()) for f in ("pipeline_summary.json", "step_logs.json"))
+def summarize_run(root: str | Path, run_id: str, spark: SparkSession | None = None) -> dict[str, Any]:
+    spark = spark or SparkSession.builder.getOrCreate()
+    summary, log = (json.loads(files.read_text(spark, f"{root}/runs/{run_id}/{f}")) for f in ("pipeline_summary.json", "step_logs.json"))
     return {"run_id": summary["run_id"], "artifacts_produced": summary["artifacts_produced"], "steps_executed": [e["step"] for e in log], "failures": [e for e in log if e["status"] == "failed"]}

@@ -38,14 +38,14 @@ def load(root: str | Path) -> dict[str, Any]:
     return parse(found.read_text()) if found else {}
 
 
-def out_dir(config: dict[str, Any], given: str | Path | None = None) -> Path:
-    """What was given, or paths.out_dir, or io.out_dir."""
+def out_dir(config: dict[str, Any], given: str | Path | None = None) -> str:
+    """What was given, or paths.out_dir, or io.out_dir: a path or URI of any file system."""
     if given is not None:
-        return Path(given)
+        return str(given)
     for section in ("paths", "io"):
         held = config.get(section)
         if isinstance(held, dict) and held.get("out_dir", "").strip():
-            return Path(held["out_dir"].strip())
+            return held["out_dir"].strip()
     raise ConfigError("no output folder: give one, or set paths.out_dir in config.yaml")
 
 
