@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.operators.decode import counters
 from voxframe.operators.segments import by_frame
 from voxframe.operators.timebase import HOP_S
 
@@ -82,6 +83,12 @@ def rapid_alternations(states: DataFrame) -> DataFrame:
     return marked.groupBy("rec").agg(F.count_if(hit).alias("rapid_alternations"), F.count("*").alias("n_frames"))
 
 
+def run_counters(states: DataFrame, segments: DataFrame) -> DataFrame:
+    """Per recording: runs that begin right after leakage, speech segments, leakage segments."""
+    total = segments.groupBy("rec").agg(F.count_if(F.col("label").isin("A", "B", "OVL")).alias("total_ipus"), F.count_if(F.col("label") == "LEAK").alias("leak_segments"))
+    return counters(states).join(total, "rec", "left").na.fill(0, ["total_ipus", "leak_segments"])
+
+
 def scores(ref: DataFrame, hyp: DataFrame, segments: DataFrame, hop_s: float = HOP_S) -> DataFrame:
     """All metrics per recording of hyp; a recording that ref lacks is compared with itself."""
     from voxframe.operators.segments import boundaries

@@ -27,8 +27,14 @@ def ipus(states: DataFrame, min_s: float = 0.2, hop_s: float = HOP_S) -> DataFra
     return runs(states).where(length >= F.lit(min_s)).select("rec", F.col("state").alias("label"), (F.col("first") * F.lit(hop_s)).alias("start_time"), ((F.col("last") + 1) * F.lit(hop_s)).alias("end_time"))
 
 
+def _gap(seconds: float) -> None:
+    if seconds < 0:
+        raise ValueError("the gap must not be negative")
+
+
 def merge_gaps(segments: DataFrame, max_gap_s: float = 0.4) -> DataFrame:
     """Joins neighbours of one label whose gap is under max_gap_s; a merged segment ends where its last part ends."""
+    _gap(max_gap_s)
     order = W.partitionBy("rec").orderBy("start_time", "end_time", "label")
     fresh = F.coalesce(((F.col("label") != F.lag("label").over(order)) | (F.col("start_time") - F.lag("end_time").over(order) >= F.lit(max_gap_s))).cast("int"), F.lit(1))
     marked = segments.withColumn("seg__i", F.row_number().over(order)).withColumn("seg__fresh", fresh).withColumn("seg__g", F.sum("seg__fresh").over(order))
@@ -37,6 +43,7 @@ def merge_gaps(segments: DataFrame, max_gap_s: float = 0.4) -> DataFrame:
 
 def merge_per_label(segments: DataFrame, max_gap_s: float = 0.4, labels: tuple[str, ...] = ("A", "B", "OVL")) -> DataFrame:
     """Each of labels merged on its own, as a decoded path is post-processed; other labels stay as they are."""
+    _gap(max_gap_s)
     order = W.partitionBy("rec", "label").orderBy("start_time", "end_time")
     fresh = F.coalesce((~F.col("label").isin(*labels) | (F.col("start_time") - F.lag("end_time").over(order) >= F.lit(max_gap_s))).cast("int"), F.lit(1))
     marked = segments.withColumn("seg__i", F.row_number().over(order)).withColumn("seg__fresh", fresh).withColumn("seg__g", F.sum("seg__fresh").over(order))
@@ -55,14 +62,15 @@ def paint_order(label: Column) -> Column:
 
 def rasterize(segments: DataFrame, lengths: DataFrame, hop_s: float = HOP_S, block: int = 1000) -> DataFrame:
     """segments(rec, label, start_time, end_time) onto lengths(rec, n_frames): rec, frame, state; SIL where none is. Times
-    are cut to whole frames. Segments and frames meet on (rec, block of frames), so a long recording is many small joins."""
+    are cut to whole frames. Each segment paints its own frames, in blocks, so that a long one is many rows' work; the frame's
+    paint, or SIL, is the least by order, with one shuffle of rows summed before."""
     frame = lambda t: (F.col(t) / F.lit(hop_s)).cast("long")
-    spans = segments.where(F.col("label").isin("A", "B", "OVL", "LEAK")).select("rec", "label", frame("start_time").alias("a"), frame("end_time").alias("b")).where("b > a")
-    spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
-    grid = lengths.where("n_frames > 0").select("rec", "n_frames", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_frames") - 1) / block))).alias("block"))
-    grid = grid.select("rec", "block", F.explode(F.sequence(F.col("block") * block, F.least(F.col("block") * block + block, F.col("n_frames")) - 1)).alias("frame"))
-    hit = grid.join(spans, ["rec", "block"], "left").withColumn("in", F.coalesce((F.col("frame") >= F.col("a")) & (F.col("frame") < F.col("b")), F.lit(False)))
-    return hit.groupBy("rec", "frame").agg(F.coalesce(F.min_by(F.when(F.col("in"), F.col("label")), F.when(F.col("in"), paint_order(F.col("label")))), F.lit("SIL")).alias("state"))
+    inside = lambda a, b: F.explode(F.sequence(F.greatest(F.col("block") * block, a), F.least(F.col("block") * block + block, b) - 1)).alias("frame")
+    blocks = lambda a, b: F.explode(F.sequence(F.floor(a / block), F.floor((b - 1) / block))).alias("block")
+    spans = segments.where(F.col("label").isin("A", "B", "OVL", "LEAK")).join(lengths, "rec").select("rec", "label", F.greatest(frame("start_time"), F.lit(0)).alias("a"), F.least(frame("end_time"), F.col("n_frames")).alias("b")).where("b > a")
+    painted = spans.select("*", blocks(F.col("a"), F.col("b"))).select("rec", inside(F.col("a"), F.col("b")), F.struct(paint_order(F.col("label")).alias("order"), F.col("label").alias("state")).alias("paint"))
+    grid = lengths.where("n_frames > 0").select("rec", "n_frames", blocks(F.lit(0).cast("long"), F.col("n_frames"))).select("rec", inside(F.lit(0).cast("long"), F.col("n_frames")), F.struct(F.lit(4).alias("order"), F.lit("SIL").alias("state")).alias("paint"))
+    return grid.unionByName(painted).groupBy("rec", "frame").agg(F.min("paint").alias("paint")).select("rec", "frame", "paint.state")
 
 
 def fill_gaps(segments: DataFrame, ends: DataFrame | None = None, label: str = "#", keys: tuple[str, ...] = ("rec",), clip: bool = False) -> DataFrame:

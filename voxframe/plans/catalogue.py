@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from voxframe.operators import chunking, evaluation, fusion, metrics, resample, segments, signal, spectral, textgrid, timebase, tracks, transcript
 from voxframe.operators import decode as dec
+from voxframe.sources import audio
 from voxframe.sources import driver_tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,7 +171,15 @@ def leakage_gate(spark, d):
     return rounded(spectral.gate(_energy(spark, d)).select("rec", "frame", "dominance", "gate"), "dominance", "gate")
 
 
-@query()
+def _spectrum(side: str) -> str:
+    """log1p of the power of each bin of a frame of 64 samples under a Hann window, by the sum that defines it."""
+    return f"""(select rec, frame, k, ln(1 + pow(sum(x * cos(2 * pi() * k * i / 64)), 2) + pow(sum(x * sin(2 * pi() * k * i / 64)), 2)) as p
+ from (select rec, frame, i, "{side}"[i + 1] * (0.5::double - 0.5::double * cos(2 * pi() * i / 63)) as x from stereo, range(0, 64) t(i)), range(0, 33) u(k) group by rec, frame, k)"""
+
+
+@query(f"""with {ENERGY}, ref as (select rec, quantile_cont(el + er, 0.9) as q from energy group by rec),
+alike as (select l.rec, l.frame, greatest(0::double, least(1::double, sum(l.p * r.p) / (sqrt(sum(l.p * l.p)) * sqrt(sum(r.p * r.p)) + 1e-8::double))) as likeness from {_spectrum('left')} l join {_spectrum('right')} r on l.rec = r.rec and l.frame = r.frame and l.k = r.k group by l.rec, l.frame)
+select e.rec, e.frame, round(greatest(0::double, least(1::double, least(1::double, abs((el - er) / (el + er + 1e-8::double))) * likeness * least(1::double, (el + er) / (q + 1e-8::double)))), 6) as leakage from energy e join ref using (rec) join alike a on a.rec = e.rec and a.frame = e.frame""")
 def leakage_likelihood(spark, d):
     return rounded(spectral.leakage(T.stereo_frames(spark, d)).select("rec", "frame", "leakage"), "leakage")
 
@@ -182,6 +191,75 @@ def waveform_interpolate(spark, d):
     return rounded(out, "value")
 
 
+@query(f"""with {ENERGY}, samples as (select rec, frame, unnest("left") as l, unnest("right") as r from stereo), c as (select rec, frame, corr(l, r) as c from samples group by rec, frame)
+select e.rec, e.frame, round(el, 6) as energy_left, round(er, 6) as energy_right, round(ln((el + 1e-8::double) / (er + 1e-8::double)), 6) + 0 as log_ratio, round(greatest(-1, least(1, c)), 6) + 0 as correlation from energy e join c on e.rec = c.rec and e.frame = c.frame""")
+def stereo_evidence(spark, d):
+    return rounded(signal.stereo_evidence(T.stereo_frames(spark, d)).select("rec", "frame", "energy_left", "energy_right", "log_ratio", "correlation"), "energy_left", "energy_right", "log_ratio", "correlation")
+
+
+@query(f"""with {T.STEREO}, near as (select rec, frame, list_concat(list_concat(coalesce(lag("left") over w, list_transform("left", lambda x: 0::double)), "left"), coalesce(lead("left") over w, list_transform("left", lambda x: 0::double))) as x from stereo window w as (partition by rec order by frame)),
+cut as (select rec, frame, x[47:146] as x from near) select rec, frame, len(x)::int as size, round({_RMS.format('x')}, 6) as rms from cut""")
+def centred_window(spark, d):
+    """Windows of 100 samples around the middle of frames of 64."""
+    beside = lambda f: f("left").over(signal.by_rec())
+    seen = T.stereo_frames(spark, d).withColumn("w", spectral.centred_window(F.col("left"), beside(F.lag), beside(F.lead), 100))
+    return rounded(seen.select("rec", "frame", F.size("w").alias("size"), signal.rms(F.col("w")).alias("rms")), "rms")
+
+
+SAMPLES = "samples as (select vec_id // 100 as rec, vec_id % 2 as channel, (vec_id % 100) // 2 * 64 + i as sample, embedding[i + 1]::double as value from embeddings, range(0, 64) t(i))"
+
+
+@query(f"with {SAMPLES} select rec, channel, sample // 50 as frame, round(sum(value), 6) + 0 as total, round(arg_min(value, sample), 6) as first, round(arg_max(value, sample), 6) as last from samples group by all having count(*) = 50")
+def framing(spark, d):
+    """Samples of each channel in frames of 50; the rest at a recording's end goes."""
+    vec = T.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("rec"), (F.col("vec_id") % 2).alias("channel"), F.floor((F.col("vec_id") % 100) / 2).alias("place"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "value"))
+    cut = signal.frames_of(vec.select("rec", "channel", (F.col("place") * 64 + F.col("i")).alias("sample"), "value"), 1000, 0.05)
+    return rounded(cut.select("rec", "channel", "frame", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total"), F.element_at("samples", 1).alias("first"), F.element_at("samples", -1).alias("last")), "total", "first", "last")
+
+
+@query(f"""with {T.STEREO}, spot as (select rec, frame, "left" as x, round_even((frame % 7) * 0.1::double * 64, 0)::int as a, round_even(((frame % 7) * 0.1::double + 0.3::double) * 64, 0)::int as b from stereo), c as (select rec, frame, x[a + 1:least(b, 64)] as x from spot)
+select rec, frame, len(x)::int as size, round(list_sum(x), 6) + 0 as total from c""")
+def waveform_cut(spark, d):
+    """Three tenths of a second of frames of 64 samples a second, from a start that some frames nearly end at."""
+    start = (F.col("frame") % 7) * F.lit(0.1)
+    seen = T.stereo_frames(spark, d).select("rec", "frame", resample.cut(F.col("left"), F.lit(64), start, start + F.lit(0.3)).alias("x"))
+    return rounded(seen.select("rec", "frame", F.size("x").alias("size"), F.aggregate("x", F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
+
+
+@query("select frame, round(frame * 0.01::double, 6) as time_s from range(0, 500) t(frame)")
+def frame_times(spark, d):
+    return rounded(timebase.TimeBase(0.01).frame_times(spark, 500), "time_s")
+
+
+@query(f"with {T.EVENT_TRACK} select rec, frame * 2 + j as frame, round(value, 6) as value from track, (values (0), (1)) s(j)")
+def canonical_up(spark, d):
+    return rounded(resample.to_canonical(T.event_track(spark, d), timebase.TimeBase(0.02), {"value": None}).select("rec", "frame", "value"), "value")
+
+
+@query(_blocks("avg"))
+def canonical_down(spark, d):
+    return rounded(resample.to_canonical(_whole(spark, d, 4), timebase.TimeBase(0.0025), {"vad": "mean", "diar_a": "mean"}), "vad", "diar_a")
+
+
+@query(f"""with b as (select unnest(range(0, {len(audio.STRESS)})) as k, unnest({[x[0] for x in audio.STRESS]}) as state, unnest({[x[1] for x in audio.STRESS]}::double[]) as f, unnest({[x[2] for x in audio.STRESS]}::double[]) as l, unnest({[x[3] for x in audio.STRESS]}::double[]) as r)
+select k * 8000 + i as sample, round(l * sin(2 * pi() * f * i / 16000::double), 6) + 0 as "left", round(r * sin(2 * pi() * f * i / 16000::double), 6) + 0 as "right", state from b, range(0, 8000) t(i)""")
+def stress_recording(spark, d):
+    return rounded(audio.stress_samples(spark), "left", "right")
+
+
+@query("select 'r' as rec, frame, case when frame < 5 then 0.05::double when frame < 12 then 0.95::double when frame < 15 then 0.05::double else 0.95::double end as value from range(0, 20) t(frame)")
+def synthetic_track(spark, d):
+    return audio.vad_track(spark, "r", [("SIL", 5), ("A", 7), ("LEAK", 3), ("OVL", 5)])
+
+
+@query(f"""with {T.TURNS}, seen as (select rec, start_time - 0.3::double as a, start_time + 4 as b, 0.2::double as s, end_time - start_time + 0.4::double as e, text from turns)
+select rec, round(least(greatest(a + s, a), b), 6) as start_time, round(least(greatest(a + e, a), b), 6) as end_time, trim(text, ' ') as text from seen where least(greatest(a + e, a), b) - least(greatest(a + s, a), b) >= 1e-4::double""")
+def recognised_segments(spark, d):
+    """Turns as a recogniser would give them in windows of 4.3 seconds: in recording time, within the window."""
+    raw = T.turns(spark, d).select("rec", (F.col("start_time") - F.lit(0.3)).alias("chunk_start"), (F.col("start_time") + 4).alias("chunk_end"), F.lit(0.2).alias("start_time"), (F.col("end_time") - F.col("start_time") + F.lit(0.4)).alias("end_time"), "text")
+    return rounded(transcript.recognised(raw), "start_time", "end_time")
+
+
 # ---- fusion and decoding ---------------------------------------------------------------------------------------------
 
 
@@ -229,9 +307,9 @@ def transition_matrix(spark, d):
     return dec.step_table(spark)
 
 
-def viterbi_sql(scores: str, tuning: dec.Tuning = dec.Tuning()) -> str:
+def viterbi_sql(scores: str, tuning: dec.Tuning = dec.Tuning(), least: dict[str, int] | None = None) -> str:
     """Dynamic programming over frames as a recursive query; scores: rec, frame and the five scores, as a CTE named scores."""
-    m = dec.model(tuning)
+    m = dec.model(tuning, least)
     k = len(m.base)
     trans = ", ".join(f"({i}, {j}, {m.step[i, j]}::double)" for i in range(k) for j in range(k) if m.step[i, j] != dec.NEVER)
     subs = ", ".join(f"({j}, {m.base[j]}, {'null' if m.first[j] == dec.NEVER else m.first[j]}::double)" for j in range(k))
@@ -286,6 +364,19 @@ def leak_starts(spark, d):
     return dec.counters(T.event_states(spark, d))
 
 
+@query(f"""with {T.FRAMES}, {LONG}, held as (select * from long where not (rec % 5 = 0 and track = 'leak' and frame >= 50)), per as (select rec, track, count(distinct frame) as n, max(frame) as last from held group by rec, track)
+select rec, min(n) as least, max(n) as most, max(last) as last from per group by rec having min(n) <> max(n) or max(last) + 1 <> max(n)""")
+def grid_check(spark, d):
+    """Recordings whose tracks do not have the same frames."""
+    return fusion.incomplete(_long(T.frames(spark, d)).where(~((F.col("rec") % 5 == 0) & (F.col("track") == "leak") & (F.col("frame") >= 50))))
+
+
+@query(f"with {T.FRAMES} " + _shown(fuse_sql(vad="(1 / (1 + exp(-(vad * 4 - 2))))")))
+def fuse_logits(spark, d):
+    f = T.frames(spark, d).withColumn("vad", F.col("vad") * 4 - 2)
+    return rounded(fusion.fuse(f, logits=("vad",)), *fusion.SCORES)
+
+
 # ---- segments --------------------------------------------------------------------------------------------------------
 
 RUNS = f"""{T.EVENT_STATES}, islands as (select *, frame - row_number() over (partition by rec, state order by frame) as g from states),
@@ -342,6 +433,13 @@ def gap_fill(spark, d):
     return segments.fill_gaps(T.turns(spark, d).select("rec", "start_time", "end_time", "label"))
 
 
+@query(f"""with {IPUS}, t as (select rec, count(*) filter (label in ('A', 'B', 'OVL')) as total_ipus, count(*) filter (label = 'LEAK') as leak_segments from ipus group by rec),
+b as (select *, lag(state) over (partition by rec order by frame) as p from states), c as (select rec, count(*) filter (p = 'LEAK' and state not in ('LEAK', 'SIL')) as n from b group by rec)
+select c.rec, n as ipu_start_after_leak, coalesce(total_ipus, 0)::bigint as total_ipus, coalesce(leak_segments, 0)::bigint as leak_segments from c left join t using (rec)""")
+def run_counters(spark, d):
+    return metrics.run_counters(T.event_states(spark, d), _ipus(spark, d))
+
+
 # ---- metrics ---------------------------------------------------------------------------------------------------------
 
 
@@ -418,11 +516,33 @@ def rapid_alternations(spark, d):
 # ---- recogniser windows and transcripts ------------------------------------------------------------------------------
 
 
-@query()
+def chunks_sql() -> str:
+    """The three passes as recursive queries, a step a unit: split segments, joined units, windows of joined units."""
+    c = chunking
+    k = "k.rec, k.label"
+    return f"""with recursive {T.TURNS}, ends as (select rec, max(end_time) as duration from turns where label <> 'SIL' group by rec),
+ipus as (select rec, label, start_time as s, end_time as e, row_number() over (partition by rec, label order by start_time, end_time) - 1 as ipu from turns where label <> 'SIL'),
+pieces as (select rec, label, ipu, case when e - s > {c.SPLIT_OVER} then s + {c.TARGET} * j else s end as s, case when e - s > {c.SPLIT_OVER} then least(s + {c.TARGET} * (j + 1), e) else e end as e
+ from (select *, unnest(range(0, case when e - s > {c.SPLIT_OVER} then ceil((e - s) / {c.TARGET})::bigint else 1 end)) as j from ipus where e - s >= {c.MIN_IPU})),
+units as materialized (select *, row_number() over (partition by rec, label order by ipu, s) - 1 as i from pieces),
+fold(rec, label, i, g, gs, ge) as (select rec, label, i, 0, s, e from units where i = 0
+ union all select {k}, k.i, case when ge - gs < {c.MIN_CHUNK} or k.e - gs <= {c.TARGET} then g else g + 1 end, case when ge - gs < {c.MIN_CHUNK} or k.e - gs <= {c.TARGET} then gs else k.s end, k.e from fold f join units k on k.rec = f.rec and k.label = f.label and k.i = f.i + 1),
+parts as materialized (select f.rec, f.label, g as i, min(gs) as s, max_by(ge, f.i) as e, list(ipu) as own from fold f join units u on u.rec = f.rec and u.label = f.label and u.i = f.i group by f.rec, f.label, g),
+core(rec, label, i, g, gs, ge, grown) as (select rec, label, i, 0, s, e, false from parts where i = 0
+ union all select rec, label, i, case when more then g else g + 1 end, case when more then gs else s end, e, more from
+ (select {k}, k.i, g, gs, k.s, k.e, k.e - gs <= {c.LONGEST} and not (grown and ge - gs >= {c.TARGET}) as more from core f join parts k on k.rec = f.rec and k.label = f.label and k.i = f.i + 1)),
+cores as (select f.rec, f.label, g, min(gs) as s, max_by(ge, f.i) as e, list_sort(list_distinct(flatten(list(own)))) as own from core f join parts u on u.rec = f.rec and u.label = f.label and u.i = f.i group by f.rec, f.label, g),
+roomy as (select cores.*, duration, greatest(0::double, {c.LONGEST} - (e - s)) as room from cores join ends using (rec)),
+lefts as (select *, least({c.OVERLAP}::double, s, room / 2) as l from roomy)
+select rec, label, g::bigint as chunk_idx, round(s - l, 6) as start_time, round(e + least({c.OVERLAP}::double, greatest(0::double, duration - e), room - l), 6) as end_time, array_to_string(own, ',') as ipu_indices from lefts"""
+
+
+@query(chunks_sql())
 def asr_chunks(spark, d):
     t = T.turns(spark, d).where("label <> 'SIL'")
     timed = t.withColumn("duration_s", F.max("end_time").over(W.partitionBy("rec")))
-    return rounded(chunking.asr_chunks(timed.select("rec", "label", "start_time", "end_time", "duration_s")), "start_time", "end_time")
+    found = chunking.asr_chunks(timed.select("rec", "label", "start_time", "end_time", "duration_s"))
+    return rounded(found.withColumn("ipu_indices", F.array_join("ipu_indices", ",")), "start_time", "end_time")
 
 
 def _doubled_words(spark, d) -> DataFrame:
@@ -560,25 +680,73 @@ def suite_filter(spark, d):
     return evaluation.suite(_card(spark, d), ("1", "5", "Hard")).select("id", "tier", "status")
 
 
-@query()
-def evaluate_paths(spark, d):
-    """All metrics of the decoded path against the same scores decoded without least durations."""
+NO_LEAST = {name: 1 for name in dec.STATES}
+
+
+def _paths(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The decoded path, and as reference the same scores decoded without least durations, a few frames shorter."""
     raw = T.raw_scores(spark, d)
-    hyp = dec.decode(raw)
-    ref = dec.decode(raw, least={s: 1 for s in dec.STATES})
-    names = [*metrics.MASKS, "boundary_f1_20ms", "boundary_f1_50ms", "micro_ipus_per_min", "switches_per_min", "rapid_alternations_per_min"]
-    return rounded(metrics.scores(ref, hyp, segments.ipus(hyp, 0.03)), *names)
+    ref = dec.decode(raw, least=NO_LEAST).withColumn("n", F.count("*").over(W.partitionBy("rec")))
+    return ref.where(F.col("frame") < F.col("n") - F.col("rec") % 5).drop("n"), dec.decode(raw)
+
+
+def _matched(tol: str, name: str) -> str:
+    """Recursive match of the boundaries h, in order, each with the nearest of r that is left within tol."""
+    return f"""{name}(rec, i, used) as (select distinct rec, -1::bigint, []::bigint[] from h
+ union all select rec, i, case when ri is null then used else list_append(used, ri) end from (
+  select w.rec, h.i, w.used, r.i as ri, row_number() over (partition by w.rec order by (r.i is null), abs(r.x - h.x), r.i) as n from {name} w join h on h.rec = w.rec and h.i = w.i + 1
+  left join r on r.rec = w.rec and abs(r.x - h.x) <= {tol}::double and not list_contains(w.used, r.i)) where n = 1)"""
+
+
+def _edges(name: str, table: str) -> str:
+    return f"{name} as materialized (select rec, x, row_number() over (partition by rec order by x) - 1 as i from (select rec, frame * 0.01::double as x, state, lag(state) over (partition by rec order by frame) as p from {table}) where p <> state)"
 
 
-@query()
+def _f1(name: str, tol: str) -> str:
+    tp = f"coalesce((select len(arg_max(used, i)) from {name} w where w.rec = c.rec), 0)"
+    both = "((select count(*) from h where h.rec = c.rec) + (select count(*) from r where r.rec = c.rec))"
+    return f"case when {both} > 0 then 2 * {tp} / {both}::double else 0 end as boundary_f1_{tol}"
+
+
+def _scores_sql() -> str:
+    return f"""hyp0 as materialized ({viterbi_sql(T.RAW_SCORES)}),
+ref0 as materialized (select rec, frame, state from (select *, count(*) over (partition by rec) as n from ({viterbi_sql(T.RAW_SCORES, least=NO_LEAST)})) where frame < n - rec % 5),
+cut as materialized (select rec, least((select count(*) from ref0 r where r.rec = h.rec), count(*)) as n from hyp0 h group by rec),
+states as materialized (select s.* from ref0 s join cut using (rec) where frame < n), hyp as materialized (select s.* from hyp0 s join cut using (rec) where frame < n),
+{_edges('r', 'states')}, {_edges('h', 'hyp')}, {_matched('0.02', 'w20')}, {_matched('0.05', 'w50')},
+ious as (select s.rec, {IOUS} from states s join hyp h on s.rec = h.rec and s.frame = h.frame group by s.rec),
+islands as (select *, frame - row_number() over (partition by rec, state order by frame) as g from hyp0),
+micro as (select rec, count(*) as n from (select rec, state, (max(frame) + 1) * 0.01::double - min(frame) * 0.01::double as d, count(*) as k from islands group by rec, state, g) where k * 0.01::double >= 0.03::double and d < 0.2::double group by rec),
+turned as (select rec, count(*) filter (p <> state) as n from (select rec, state, lag(state) over (partition by rec order by frame) as p from hyp where state in ('A', 'B')) group by rec),
+rapid as (select rec, count(*) filter (state in ('A', 'B') and b in ('A', 'B') and state <> b and state = c) as n from (select *, lead(state) over w as b, lead(state, 2) over w as c from hyp window w as (partition by rec order by frame)) group by rec),
+measured as (select c.rec, iou_a, iou_b, iou_any, {_f1('w20', '20ms')}, {_f1('w50', '50ms')}, coalesce(m.n, 0) / (c.n * 0.01::double / 60) as micro_ipus_per_min, coalesce(t.n, 0) / (c.n * 0.01::double / 60) as switches_per_min,
+ a.n as rapid_alternations, a.n / greatest(c.n * 0.01::double / 60, 1e-9::double) as rapid_alternations_per_min from cut c join ious using (rec) left join micro m on m.rec = c.rec left join turned t on t.rec = c.rec join rapid a on a.rec = c.rec)"""
+
+
+_SCORED = [*metrics.MASKS, "boundary_f1_20ms", "boundary_f1_50ms", "micro_ipus_per_min", "switches_per_min", "rapid_alternations_per_min"]
+
+
+@query(f"with recursive {_scores_sql()} select rec, rapid_alternations, " + ", ".join(f"round({m}, 6) as {m}" for m in _SCORED) + " from measured")
+def evaluate_paths(spark, d):
+    """All metrics of the decoded path against the reference path, cut to the shorter of both."""
+    ref, hyp = _paths(spark, d)
+    return rounded(metrics.scores(ref, hyp, segments.ipus(hyp, 0.03)), *_SCORED)
+
+
+@query(f"with recursive {_scores_sql()} select {TIER} as tier, count(*) as n, " + ", ".join(f"round(avg({m}), 6) as {m}" for m in evaluation.METRICS) + f" from measured group by rollup ({TIER})")
+def evaluate_by_tier(spark, d):
+    """The scorecard of those metrics by tier: decoding, matching and aggregation in one plan."""
+    ref, hyp = _paths(spark, d)
+    tier = F.when(F.col("rec") % 3 == 0, "easy").when(F.col("rec") % 3 == 1, "hard").otherwise("synthetic")
+    rows = metrics.scores(ref, hyp, segments.ipus(hyp, 0.03)).withColumn("tier", tier)
+    return rounded(evaluation.by_tier(rows), *evaluation.METRICS)
+
+
+@query(" union all ".join(f"select {k}::int as candidate, state, count(*) as n from ({viterbi_sql(T.RAW_SCORES, t)}) group by state" for k, t in enumerate(dec.GRID)))
 def tuning_grid(spark, d):
-    """Frames of each state for each candidate of the tuning grid."""
-    raw = T.raw_scores(spark, d)
-    out = None
-    for k, tuning in enumerate(dec.GRID):
-        part = dec.decode(raw, tuning).groupBy("state").agg(F.count("*").alias("n")).select(F.lit(k).alias("candidate"), "state", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Frames of each state for each candidate of the tuning grid, all decoded in one pass over the recordings."""
+    both = dec.decode_all(T.raw_scores(spark, d), {k: dec.model(t) for k, t in enumerate(dec.GRID)})
+    return both.groupBy("candidate", "state").agg(F.count("*").alias("n"))
 
 
 # ---- tracks and documents --------------------------------------------------------------------------------------------
@@ -637,10 +805,16 @@ def textgrid_round_trip(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, frames, fused scores, decoded path, segments, merged segments, counts per recording."""
-    path = dec.decode(fusion.fuse(T.frames(spark, sf_dir)))
-    merged = segments.merge_per_label(segments.ipus(path, 0.05), 0.4)
+    merged = segments.merge_per_label(segments.ipus(_fused_path(spark, sf_dir), 0.05), 0.4)
     count = lambda s: F.count_if(F.col("label") == s).alias(f"n_{s.lower()}")
     return merged.groupBy("rec").agg(*(count(s) for s in dec.STATES), F.round(F.sum(F.when(F.col("label") != "SIL", F.col("end_time") - F.col("start_time")).otherwise(F.lit(0.0))), 6).alias("speech_s"))
 
 
 QUERIES["end_to_end"] = flagship
+ORACLES["end_to_end"] = f"""with path as materialized ({viterbi_sql(f"{T.FRAMES}, scores as (select rec, frame, {ROUNDED} from ({fuse_sql()}))")}),
+islands as (select *, frame - row_number() over (partition by rec, state order by frame) as g from path),
+ipus as (select rec, state as label, min(frame) * 0.01::double as s, (max(frame) + 1) * 0.01::double as e from islands group by rec, state, g having count(*) * 0.01::double >= 0.05::double),
+fresh as (select *, case when label in ('A', 'B', 'OVL') and s - lag(e) over w < 0.4::double then 0 else 1 end as f from ipus window w as (partition by rec, label order by s)),
+grouped as (select *, sum(f) over (partition by rec, label order by s) as g from fresh),
+merged as (select rec, label, min(s) as s, arg_max(e, s) as e from grouped group by rec, label, g)
+select rec, {', '.join(f"count(*) filter (label = '{n}') as n_{n.lower()}" for n in dec.STATES)}, round(sum(case when label <> 'SIL' then e - s else 0 end), 6) as speech_s from merged group by rec"""

@@ -21,7 +21,12 @@ STRESS = (("SIL", 0.0, 0.0, 0.0), ("A", 220.0, 0.06, 0.0018), ("SIL", 0.0, 0.0,
 
 
 def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
-    """Rate and samples x channels in -1..1 of PCM with 8, 16, 24 or 32 bits."""
+    """Rate and samples x channels in -1..1 of PCM with 8, 16, 24 or 32 bits, or of FLAC."""
+    if content[:4] == b"fLaC":
+        import soundfile  # only where that library is installed
+
+        x, rate = soundfile.read(io.BytesIO(content), always_2d=True)
+        return rate, x
     with wave.open(io.BytesIO(content)) as w:
         rate, channels, width, raw = w.getframerate(), w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())
     if width == 1:
@@ -46,8 +51,8 @@ def encode_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    """rec (the file's path) and content of the .wav files, whatever the case of the suffix."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{wav,WAV,Wav}").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("rec"), "content")
+    """rec (the file's path) and content of the .wav and .flac files, whatever the case of the suffix."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{[wW][aA][vV],[fF][lL][aA][cC]}").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("rec"), "content")
 
 
 def frames(recordings: DataFrame, hop_s: float = 0.01, channels: int | None = 2, channel: int | None = None, exact: bool = False) -> DataFrame:
@@ -106,3 +111,38 @@ def block_track(spark: SparkSession, rec: str, blocks: list[tuple[str, int]], in
     for (name, _), end in list(zip(blocks, ends))[::-1]:
         state = F.when(F.col("frame") < end, F.lit(name)).otherwise(state)
     return spark.range(ends[-1]).select(F.lit(rec).alias("rec"), F.col("id").alias("frame")).withColumn("value", F.when(state.isin(*inside), F.lit(on)).otherwise(F.lit(off)))
+
+
+def vad_track(spark: SparkSession, rec: str, blocks: list[tuple[str, int]], on: float = 0.95, off: float = 0.05) -> DataFrame:
+    return block_track(spark, rec, blocks, ("A", "B", "OVL"), on, off)
+
+
+def diar_track(spark: SparkSession, rec: str, blocks: list[tuple[str, int]], speaker: str, on: float = 0.9, off: float = 0.1) -> DataFrame:
+    return block_track(spark, rec, blocks, (speaker, "OVL"), on, off)
+
+
+def leak_track(spark: SparkSession, rec: str, blocks: list[tuple[str, int]], on: float = 0.7, off: float = 0.05) -> DataFrame:
+    return block_track(spark, rec, blocks, ("LEAK",), on, off)
+
+
+def regions(lengths: list[int]) -> list[tuple[int, int]]:
+    """First and one past the last frame of blocks one after another."""
+    ends = np.cumsum(lengths).tolist()
+    return list(zip([0, *ends[:-1]], ends))
+
+
+def scripted_scores(spark: SparkSession, rec: str, blocks: list[tuple[str, int]], high: float = 6.0, low: float = 0.0) -> DataFrame:
+    """Scores in which each block's state is high and the others low."""
+    names = {"SIL": "s_sil", "A": "s_a", "B": "s_b", "OVL": "s_ovl", "LEAK": "s_leak"}
+    parts = [block_track(spark, rec, blocks, (state,), high, low).withColumnRenamed("value", column) for state, column in names.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, ["rec", "frame"])
+    return out
+
+
+def seeded_scores(spark: SparkSession, rec: str, frames: int, seed: int = 0) -> DataFrame:
+    """Normal scores from hashes of (seed, frame, state): the same in every partitioning."""
+    u = lambda k, salt: (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(k), F.lit(salt)), F.lit(1 << 52)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+    normal = lambda k: F.sqrt(F.lit(-2.0) * F.log(u(k, 0))) * F.cos(F.lit(2 * math.pi) * u(k, 1))
+    return spark.range(frames).select(F.lit(rec).alias("rec"), F.col("id").alias("frame"), *(normal(k).alias(c) for k, c in enumerate(("s_sil", "s_a", "s_b", "s_ovl", "s_leak"))))
