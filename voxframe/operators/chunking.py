@@ -35,22 +35,25 @@ def joined(parts: list[tuple[float, float, list[int]]]) -> list[tuple[float, flo
 
 
 def windows(parts: list[tuple[float, float, list[int]]], duration: float) -> list[tuple[float, float, list[int]]]:
-    """Parts together up to TARGET, never over LONGEST, with overlap on both sides where there is room."""
-    cores: list[tuple[float, float, list[int]]] = []
-    alone = 0
-    for start, end, own in parts:
-        grown = bool(cores) and len(cores[-1][2]) > alone  # the first part alone may be longer than TARGET
-        if cores and end - cores[-1][0] <= LONGEST and not (grown and cores[-1][1] - cores[-1][0] >= TARGET):
-            cores[-1] = (cores[-1][0], end, cores[-1][2] + own)
+    """Windows are filled with whole parts until they reach TARGET, and never past LONGEST, unless one part alone is longer;
+    then they get OVERLAP on both sides, as far as the recording and LONGEST leave room."""
+    filled: list[list[tuple[float, float, list[int]]]] = []
+    for part in parts:
+        begin = filled[-1][0][0] if filled else 0.0
+        fits = filled and part[1] - begin <= LONGEST
+        # a window's first part does not count as filling: it takes a second one even beyond TARGET
+        wants = filled and (len(filled[-1]) == 1 or filled[-1][-1][1] - begin < TARGET)
+        if fits and wants:
+            filled[-1].append(part)
         else:
-            cores.append((start, end, own))
-            alone = len(own)
+            filled.append([part])
     out = []
-    for start, end, own in cores:
+    for held in filled:
+        start, end = held[0][0], held[-1][1]
         room = max(0.0, LONGEST - (end - start))
         left = min(OVERLAP, start, room / 2.0)
         right = min(OVERLAP, max(0.0, duration - end), room - left)
-        out.append((start - left, end + right, sorted(set(own))))
+        out.append((start - left, end + right, sorted({k for _, _, own in held for k in own})))
     return out
 
 

@@ -64,6 +64,13 @@ def changed_params(baseline: dict, current: dict) -> dict[str, tuple]:
     return {k: (baseline.get(k), current.get(k)) for k in sorted({*baseline, *current}) if baseline.get(k) != current.get(k)}
 
 
+def board_row(candidate: int, delta: DataFrame, digits: int | None = None) -> DataFrame:
+    """A candidate's row of the leaderboard, from its deltas; a tier without items counts as no change."""
+    fine = lambda c: c if digits is None else F.round(c, digits) + F.lit(0.0)
+    mean = lambda tier, m: F.coalesce(F.avg(F.when(F.col("tier") == tier, F.col(f"{m}_delta"))), F.lit(0.0))
+    return delta.agg(F.lit(candidate).alias("candidate"), fine(mean("hard", "micro_ipus_per_min")).alias("hard_micro_ipus_per_min_delta"), fine(mean("easy", "boundary_f1_20ms")).alias("easy_boundary_f1_20ms_delta"), fine(F.avg("switches_per_min_delta")).alias("switches_per_min_delta"))
+
+
 def leaderboard(candidates: DataFrame) -> DataFrame:
     """candidates(candidate, hard_micro_ipus_per_min_delta, easy_boundary_f1_20ms_delta, switches_per_min_delta) with place,
     from 1: by the first, the size of the second, the third, then candidate. A candidate is one run of a grid, so few."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.operators.decode import Tuning
 from voxframe.operators.signal import as_probability
+from voxframe.operators.tracks import wide
 
 # fixed values of the score model
 LOG_EPS = 1e-6
@@ -59,3 +60,15 @@ def incomplete(tracks: DataFrame) -> DataFrame:
     """Long table (rec, track, frame, ...) -> the recordings whose tracks do not all have the same frames."""
     per = tracks.groupBy("rec", "track").agg(F.countDistinct("frame").alias("n"), F.max("frame").alias("last"))
     return per.groupBy("rec").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("last").alias("last")).where("least != most or last + 1 != most")
+
+
+def fuse_tracks(tracks: DataFrame, tuning: Tuning = Tuning(), names: tuple[str, ...] = ("vad", "diar_a", "diar_b", "leakage_likelihood", "leak", "overlap_proxy")) -> DataFrame:
+    """Long table (rec, track, frame, value) -> fuse() of its wide form. Recordings whose tracks do not share a grid are an
+    error, as are tables without tracks; the check is one aggregation, before anything else runs."""
+    used = tracks.where(F.col("track").isin(*names))
+    held = {r.track for r in used.select("track").distinct().collect()}  # at most as many as names
+    if not held:
+        raise ValueError("there are no tracks to fuse")
+    if bad := incomplete(used).limit(3).collect():  # named in the message
+        raise ValueError(f"tracks differ in frames: {', '.join(str(r.rec) for r in bad)}")
+    return fuse(wide(used, tuple(n for n in names if n in held)), tuning)

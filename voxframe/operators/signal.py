@@ -98,14 +98,18 @@ def overlap_proxy(a: Column, b: Column, semantics_a: str = "probability", semant
     return as_probability(a, semantics_a) * as_probability(b, semantics_b)
 
 
+#: fixed values of the energy detector: a narrower range of quantiles, or of all values, counts as none; above this it is speech
+NARROW, FLAT, AUDIBLE = 1e-6, 1e-6, 1e-8
+
+
 def energy_vad(frames: DataFrame, value: str = "energy") -> DataFrame:
     """Adds vad: the value scaled between its 10 and 90 percent quantiles (or its extremes), clipped, and blurred over nine
     frames with the end values repeated beyond the ends."""
     stats = frames.groupBy("rec").agg(F.percentile(value, F.array(F.lit(0.1), F.lit(0.9))).alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n"))
-    narrow = (F.col("q")[1] - F.col("q")[0]) < 1e-6
+    narrow = (F.col("q")[1] - F.col("q")[0]) < NARROW
     stats = stats.select("rec", "n", F.when(narrow, F.col("lo")).otherwise(F.col("q")[0]).alias("floor"), F.when(narrow, F.col("hi")).otherwise(F.col("q")[1]).alias("ceiling"))
-    flat = F.col("ceiling") - F.col("floor") < 1e-6
-    scaled = F.when(flat, F.when(F.col("ceiling") > 1e-8, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(
+    flat = F.col("ceiling") - F.col("floor") < FLAT
+    scaled = F.when(flat, F.when(F.col("ceiling") > AUDIBLE, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - F.col("floor")) / F.when(flat, F.lit(1.0)).otherwise(F.col("ceiling") - F.col("floor"))))
     )
     p = frames.join(stats, "rec").withColumn("vad__p", scaled)

@@ -40,12 +40,13 @@ def spectral_likeness(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def centred_window(samples: Column, before: Column, after: Column, width: int) -> Column:
+def centred_window(samples: Column, before: Column, after: Column, width: int | Column) -> Column:
     """``width`` samples around the middle of a frame, from it and its neighbours (null: zeros)."""
     size = F.size(samples)
+    count = F.lit(width) if isinstance(width, int) else width
     zeros = F.array_repeat(F.lit(0.0), size)
     joined = F.concat(F.coalesce(before, zeros), samples, F.coalesce(after, zeros))
-    return F.slice(joined, (size + F.floor(size / 2) - width // 2 + 1).cast("int"), width)
+    return F.slice(joined, (size + F.floor(size / 2) - F.floor(count / 2) + 1).cast("int"), count.cast("int"))
 
 
 def gate(energy: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def gate(energy: DataFrame) -> DataFrame:
     return energy.join(reference, "rec").withColumn("dominance", clip(F.abs((F.col("energy_left") - F.col("energy_right")) / (both + F.lit(EPS))))).withColumn("gate", clip(both / (F.col("gate__ref") + F.lit(EPS)))).drop("gate__ref")
 
 
-def leakage(frames: DataFrame, window_samples: int | None = None) -> DataFrame:
+def leakage(frames: DataFrame, window_samples: int | Column | None = None) -> DataFrame:
     """frames(rec, frame, left, right) -> and leakage in 0..1. window_samples, at most three frames, defaults to one frame."""
     if window_samples is not None:
         for side in ("left", "right"):
@@ -65,6 +66,3 @@ def leakage(frames: DataFrame, window_samples: int | None = None) -> DataFrame:
     seen = frames.withColumn("likeness", spectral_likeness(*pair))
     out = gate(energies(seen))
     return out.withColumn("leakage", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("dominance") * F.col("likeness") * F.col("gate")))).drop("left__w", "right__w")
-
-
-

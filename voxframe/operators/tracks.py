@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 SEMANTICS = ("probability", "logit", "score")
 SLACK = 1e-3
-#: Which tracks can stand for a name; the first that a recording has is taken.
+#: Fixed values, as track files use these names: which tracks can stand for a name; the first that a recording has is taken.
 ALIASES = {
     "energy": ("energy", "energy_smooth", "energy_rms"),
     "vad": ("vad", "vad_soft"),

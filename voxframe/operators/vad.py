@@ -23,10 +23,14 @@ def sixteen_bit(samples: np.ndarray, n: int) -> bytes:
     return (np.clip(x, -1, 1) * 32767).astype("<i2").tobytes()
 
 
+def installed() -> bool:
+    return importlib.util.find_spec("webrtcvad") is not None
+
+
 def soft_vad(frames: DataFrame, mode: int = 2, hop_s: float = 0.01, smooth_ms: float = 80.0) -> DataFrame:
     """frames(rec, frame, samples) of hop_s seconds each -> rec, frame, vad in 0..1. The detector's votes are blurred over
     nine frames, with zeros beyond the ends; the energy detector repeats the end values."""
-    if importlib.util.find_spec("webrtcvad") is None:
+    if not installed():
         energy = frames.select("rec", "frame", signal.rms(F.col("samples")).alias("energy"))
         energy = energy.withColumn("energy", signal.smooth(F.col("energy"), signal.window_frames(smooth_ms, hop_s)))
         return signal.energy_vad(energy).select("rec", "frame", "vad")

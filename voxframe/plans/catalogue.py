@@ -661,18 +661,13 @@ def guardrails(spark, d):
     return evaluation.findings(_delta(spark, d), params_changed=False)
 
 
-def _board(candidate: int, delta: DataFrame) -> DataFrame:
-    mean = lambda tier, m: F.coalesce(F.avg(F.when(F.col("tier") == tier, F.col(f"{m}_delta"))), F.lit(0.0))
-    return delta.agg(F.lit(candidate).alias("candidate"), r(mean("hard", "micro_ipus_per_min")).alias("hard_micro_ipus_per_min_delta"), r(mean("easy", "boundary_f1_20ms")).alias("easy_boundary_f1_20ms_delta"), r(F.avg("switches_per_min_delta")).alias("switches_per_min_delta"))
-
-
 @query(f"""with {_DELTA}, {card_sql('card2', '1.2::double')}, delta2 as (select c.id, c.tier, {', '.join(f'c.{m} - b.{m} as {m}_delta' for m in evaluation.METRICS)} from card b join card2 c on b.id = c.id where b.status = 'ok'),
 board as (select 0 as candidate, * from (select tier, {', '.join(f'{m}_delta' for m in evaluation.METRICS)} from delta) union all select 1, * from (select tier, {', '.join(f'{m}_delta' for m in evaluation.METRICS)} from delta2)),
 rows_ as (select candidate::int as candidate, round(coalesce(avg(micro_ipus_per_min_delta) filter (tier = 'hard'), 0), 6) + 0 as hard_micro_ipus_per_min_delta, round(coalesce(avg(boundary_f1_20ms_delta) filter (tier = 'easy'), 0), 6) + 0 as easy_boundary_f1_20ms_delta, round(avg(switches_per_min_delta), 6) + 0 as switches_per_min_delta from board group by candidate)
 select *, row_number() over (order by hard_micro_ipus_per_min_delta, abs(easy_boundary_f1_20ms_delta), switches_per_min_delta, candidate)::int as place from rows_""")
 def leaderboard(spark, d):
     other = evaluation.deltas(evaluation.latest(_card(spark, d), F.col("id")), evaluation.latest(_card(spark, d, 1.2), F.col("id")))
-    return evaluation.leaderboard(_board(0, _delta(spark, d)).unionByName(_board(1, other)))
+    return evaluation.leaderboard(evaluation.board_row(0, _delta(spark, d), 6).unionByName(evaluation.board_row(1, other, 6)))
 
 
 @query(f"with {_CARD} select id, tier, status from card where id in (1, 5) or lower(tier) = 'hard'")

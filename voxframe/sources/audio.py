@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import math
+import re
 import wave
 from collections.abc import Iterator
 
@@ -50,9 +51,21 @@ def encode_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    """rec (the file's path) and content of the .wav and .flac files, whatever the case of the suffix."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{[wW][aA][vV],[fF][lL][aA][cC]}").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("rec"), "content")
+def files(spark: SparkSession, folder: str | list[str], described: bool = False) -> DataFrame:
+    """rec (the file's path) and content of the .wav and .flac files, whatever the case of the suffix; described adds length
+    and modificationTime."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{[wW][aA][vV],[fF][lL][aA][cC]}").option("recursiveFileLookup", "true").load(folder)
+    return found.select(F.col("path").alias("rec"), *(["length", "modificationTime"] if described else []), "content")
+
+
+def listed(items: DataFrame) -> DataFrame:
+    """items(id, audio_path) -> rec (the id) and content of the recordings that a manifest names; a short list."""
+    spark = items.sparkSession
+    rows = [(str(r.id), r.audio_path) for r in items.where("audio_path is not null").select("id", "audio_path").collect()]
+    if not rows:
+        return spark.createDataFrame([], "rec string, content binary")
+    asked = spark.createDataFrame([(i, re.sub(r"^[a-z0-9]+:/+", "/", p)) for i, p in rows], "id string, asked string")
+    return F.broadcast(asked).join(files(spark, [p for _, p in rows]), F.col("rec").endswith(F.col("asked"))).select(F.col("id").alias("rec"), "content")
 
 
 def frames(recordings: DataFrame, hop_s: float = 0.01, channels: int | None = 2, channel: int | None = None, exact: bool = False) -> DataFrame:
@@ -104,6 +117,18 @@ def stress_reference(spark: SparkSession, rec: str, hop_s: float = 0.01) -> Data
     return spark.range(n * len(STRESS)).select(F.lit(rec).alias("rec"), F.col("id").alias("frame"), F.element_at(names, (F.floor(F.col("id") / n) + 1).cast("int")).alias("state"))
 
 
+def stress_files(spark: SparkSession, item: str, folder: str) -> tuple[str, str]:
+    """The stress recording and its states as files in folder: the paths of a .wav and of a .npy. 56,000 samples."""
+    from voxframe.sources import files as small
+    from voxframe.sources import references
+
+    rows = stress_samples(spark).orderBy("sample").toPandas()
+    wav, npy = f"{folder}/{item}.wav", f"{folder}/{item}_ref.npy"
+    small.write_bytes(spark, wav, encode_wav(rows[["left", "right"]].to_numpy()))
+    small.write_bytes(spark, npy, references.write_npy([r.state for r in stress_reference(spark, item).orderBy("frame").collect()]))
+    return wav, npy
+
+
 def block_track(spark: SparkSession, rec: str, blocks: list[tuple[str, int]], inside: tuple[str, ...], on: float, off: float) -> DataFrame:
     """A track over blocks of (state, frames): on where the state is one of inside, else off. The blocks are a driver list."""
     ends = np.cumsum([n for _, n in blocks]).tolist()
