@@ -43,13 +43,12 @@ def windows_removed(docs, size=13):
 
 
 def longest_repeat(docs, size=13):
-    """The level-wise rule by definition: windows of each length that two documents have, wholly removed ones aside."""
+    """The level-wise rule by definition: windows of each length that two documents have."""
     split = {d: WORD.findall(t or "") for d, t in docs}
-    removed = {d: r for (d, _), r in zip(docs, windows_removed(docs, size))}
-    level, out, now = size, dict.fromkeys(split, 0), list(split)
+    level, out = size, dict.fromkeys(split, 0)
     while True:
         owners = defaultdict(set)
-        for d in now:
+        for d in split:
             for k in range(len(split[d]) - level + 1):
                 owners[tuple(split[d][k : k + level])].add(d)
         hit = {d for o in owners.values() if len(o) > 1 for d in o}
@@ -57,7 +56,6 @@ def longest_repeat(docs, size=13):
             return out
         for d in hit:
             out[d] = level
-        now = [d for d in now if removed[d][1] < removed[d][0]]
         level *= 2
 
 

@@ -89,3 +89,27 @@ def test_changed_rows_are_noticed():
     table = pa.table({"bucket": pa.array([0], pa.int32()), "part": pa.array([0], pa.int64()), "payload": pa.array([(1).to_bytes(8, "little") + S.encoded(np.array([5], np.uint64))])})
     with pytest.raises(ValueError, match="changed"):
         S.answered(S.answers(table), 2)
+
+
+def test_a_text_and_its_copy_share_all_that_fits(spark):
+    rng = random.Random(6)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(500))
+    got = {r.doc_id: (r.longest_repeat, r.n_removed) for r in S.repeated_windows(spark.createDataFrame([(1, text), (2, text), (3, "alone")], "doc_id long, text string")).collect()}
+    assert got == {1: (416, 0), 2: (416, 500), 3: (0, 0)}
+
+
+def test_parts_are_bounded_in_bytes_and_follow_doc_id(spark, monkeypatch):
+    """Long texts in one narrow range of ids, short ones far apart."""
+    monkeypatch.setattr(S, "PART_WORDS", 5000)
+    monkeypatch.setattr(S, "MESSAGE_WORDS", 1)
+    rng = random.Random(7)
+    rows = [(k, "word " * 900) for k in range(400)] + [(10**9 + 10**6 * k, "few words here") for k in range(2000)] + [(10**12 + rng.randrange(10**12), "word " * rng.randrange(200)) for _ in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = S.layout(docs)
+    parts: dict = {}
+    for r in S.dealt(docs, plan).collect():
+        parts.setdefault(r.part, []).append((r.doc_id, len(r.text)))
+    assert sum(map(len, parts.values())) == len(rows) and max(plan.cells)[0] < len(plan.cells)
+    assert max(sum(n for _, n in p) for p in parts.values()) <= 2 * 5000 * S.WORD_BYTES
+    order = sorted(parts)
+    assert all(max(parts[a])[0] < min(parts[b])[0] for a, b in zip(order, order[1:]))

@@ -3,9 +3,9 @@
 Windows of ``size`` words of all documents are compared by hash. Windows that another document has too, and only those,
 are extended to twice their length (two repeated windows side by side), compared again, and so on until none survives.
 The first level decides removal: each word covered by a window that also starts in a document with a smaller doc_id goes.
-The higher levels tell how long the repeated passages are. Documents that the first level removes wholly are not extended.
+The higher levels tell how long the repeated passages are, in documents that the first level removes wholly as in others.
 
-Documents are dealt into parts, ranges of doc_id. A part sends each bucket of hash values one message, its distinct hashes
+Documents are dealt into parts, ranges of doc_id of about equal bytes. A part sends each bucket of hash values one message, its distinct hashes
 in order as differences; the bucket answers with two bits for each: another part has it, a part before has it. Messages
 are as many as parts times buckets, whatever the text; a passage that millions share is one entry of each part. Hashes have
 64 bits and are not compared again: of n windows about n / 2**64 are taken for repeated by chance.
@@ -17,6 +17,7 @@ other; rows without doc_id are compared with nothing; texts shorter than a windo
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -24,14 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.llm.arrow import slices
 from voxframe.llm.scratch import stored
 from voxframe.llm.words import WIDE, U, Words, chunks, mix, powers, spans_hash
 
-SIZE, COARSE = 13, 64
+SIZE, CELLS, FINE = 13, 4096, 64
 RAW_PLANES = 6
 WORD_BYTES, PART_WORDS, BUCKET_WORDS, MESSAGE_WORDS = 6, 700_000, 400_000, 64
 MESSAGE = "bucket int, part long, payload binary"
@@ -200,25 +201,55 @@ def in_several(w: Windows, inverse: np.ndarray, first: np.ndarray) -> np.ndarray
 # ---- Spark -----------------------------------------------------------------------------------------------------------
 
 
-def layout(docs: DataFrame) -> tuple[list[int], int, int]:
-    """Quantiles of doc_id (COARSE + 1, or none), parts in each, and buckets, from the size of the texts alone. Parts and
-    buckets grow as the root of the corpus once that is large, so a message keeps MESSAGE_WORDS hashes or more."""
-    row = docs.agg(F.percentile_approx("doc_id", [k / COARSE for k in range(COARSE + 1)], 100_000).alias("q"), F.sum(F.octet_length("text")).alias("b")).first()
-    words = (row.b or 0) / WORD_BYTES
-    root = (MESSAGE_WORDS * words) ** 0.5
-    within = math.ceil(words / max(PART_WORDS, root) / COARSE)
-    return list(row.q or []), max(1, within), max(8, math.ceil(words / max(BUCKET_WORDS, root)))
+@dataclass
+class Layout:
+    """split: CELLS + 1 quantiles of doc_id, or none; cells: for each range between them its first part and how many parts it
+    is; buckets of hashes."""
+
+    split: list[int]
+    cells: list[tuple[int, int]]
+    buckets: int
 
 
-def dealt(docs: DataFrame, split: list[int], within: int) -> DataFrame:
-    """docs(doc_id, text) with part: ranges of doc_id, from COARSE quantiles and equal ranges of ids within them. Only
-    quantiles, a fixed number, come to the driver."""
-    if not split:
+def _cell(split: list[int]) -> Column:
+    """Which range of doc_id a row is in: found among every FINE-th quantile, then among those between two of them."""
+    listed = lambda values, kind: F.from_json(F.lit(json.dumps(values)), kind)  # noqa: E731  one literal, not thousands
+    below = lambda values: F.size(F.filter(values, lambda x: x <= F.col("doc_id")))
+    coarse = below(listed(split[FINE:CELLS:FINE], "array<bigint>"))
+    inner = listed([split[k + 1 : k + FINE] for k in range(0, CELLS, FINE)], "array<array<bigint>>")
+    return coarse * FINE + below(F.get(inner, coarse))
+
+
+def layout(docs: DataFrame) -> Layout:
+    """Parts of about equal bytes, and the number of buckets, from the size of the texts alone. Parts and buckets grow as the
+    root of the corpus once that is large, so a message keeps MESSAGE_WORDS hashes or more. Ranges of doc_id with little text
+    share a part; one with more than a part's text is several, by equal steps of doc_id. CELLS sums come to the driver."""
+    row = docs.agg(F.percentile_approx("doc_id", [k / CELLS for k in range(CELLS + 1)], 100_000).alias("q"), F.sum(F.octet_length("text")).alias("b")).first()
+    words = (row.b or 0) / WORD_BYTES
+    root = (MESSAGE_WORDS * words) ** 0.5
+    most = max(PART_WORDS, root) * WORD_BYTES
+    split, cells = list(row.q or []), []
+    if split:
+        held = dict(docs.groupBy(_cell(split).alias("cell")).agg(F.sum(F.octet_length("text")).alias("b")).collect())
+        part, size = 0, 0
+        for k in range(CELLS):
+            here = held.get(k) or 0
+            if size and size + here > most:
+                part, size = part + 1, 0
+            cells.append((part, max(1, math.ceil(here / most))))
+            part, size = (part + cells[k][1], 0) if cells[k][1] > 1 else (part, size + here)
+    return Layout(split, cells, max(8, math.ceil(words / max(BUCKET_WORDS, root))))
+
+
+def dealt(docs: DataFrame, plan: Layout) -> DataFrame:
+    """docs(doc_id, text) with part, which never falls as doc_id grows."""
+    if not plan.split:
         return docs.withColumn("part", F.lit(0).cast("long"))
-    coarse = F.least(F.size(F.filter(F.array(*[F.lit(int(x)) for x in split[1:]]), lambda x: x <= F.col("doc_id"))), F.lit(COARSE - 1))
-    low, high = (F.array(*[F.lit(float(x)) for x in s]) for s in (split[:-1], split[1:]))
-    share = (F.col("doc_id").cast("double") - F.get(low, coarse)) / F.greatest(F.get(high, coarse) - F.get(low, coarse), F.lit(1.0))
-    return docs.withColumn("part", (coarse * within + F.greatest(F.lit(0), F.least(F.floor(share * within), F.lit(within - 1)))).cast("long"))
+    rows = [(k, first, n, float(plan.split[k]), float(max(plan.split[k + 1] - plan.split[k], 1))) for k, (first, n) in enumerate(plan.cells)]
+    table = F.broadcast(docs.sparkSession.createDataFrame(rows, "cell int, first long, parts long, low double, wide double"))  # CELLS rows
+    placed = docs.select("doc_id", "text", _cell(plan.split).cast("int").alias("cell")).join(table, "cell")
+    inside = F.floor((F.col("doc_id").cast("double") - F.col("low")) / F.col("wide") * F.col("parts"))
+    return placed.select("doc_id", "text", (F.col("first") + F.greatest(F.lit(0), F.least(inside, F.col("parts") - 1))).cast("long").alias("part"))
 
 
 def _first_level(docs: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -252,7 +283,7 @@ def _first_level(docs: DataFrame, size: int, buckets: int) -> DataFrame:
             at += len(x.start)
         longest = np.zeros(len(ids), dtype=np.int64)
         longest[w.doc[repeated]] = size
-        state = packed_state(ids, w, repeated & (n_removed < n_words)[w.doc]) if len(mine) else None
+        state = packed_state(ids, w, repeated) if len(mine) else None
         part = table.column("part")[0].as_py()
         n = len(ids)
         rows = pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string()), "longest": pa.array(longest), "part": pa.nulls(n, pa.int64()), "state": pa.nulls(n, pa.binary())})
@@ -295,9 +326,7 @@ def _next_level(states: DataFrame, size: int, buckets: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256 and longest_repeat, the greatest length of size times a
-    power of two at which a window of the document is in another one too (0: none). Above size only documents that the
-    first level does not remove wholly are compared: a wholly removed one gets size, and so does one that shares longer
-    windows with such documents alone."""
+    power of two at which a window of the document is in another one too (0: none)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,12 +336,12 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w.counts()), pa.array(np.zeros(n, np.int64)), pa.array(kept_hashes(w, np.zeros(len(w.start), bool)), pa.string()), pa.array(np.zeros(n, np.int64))], ["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat"])
 
     known = docs.where("doc_id is not null")
-    split, within, buckets = layout(known)
-    level = stored(_first_level(dealt(known, split, within), size, buckets), "substrings")
+    plan = layout(known)
+    level = stored(_first_level(dealt(known, plan), size, plan.buckets), "substrings")
     rows = level.where("state is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "longest")
     longer = None
     while not level.where("state is not null").isEmpty():
-        level = stored(_next_level(level.where("state is not null").select("part", "state"), size, buckets), "substrings")
+        level = stored(_next_level(level.where("state is not null").select("part", "state"), size, plan.buckets), "substrings")
         size *= 2
         found = level.where("state is null").select("doc_id", "longest")
         longer = found if longer is None else longer.unionByName(found)
