@@ -1,3 +1,4 @@
+import functools
 import math
 import random
 import zlib
@@ -18,6 +19,13 @@ def tokenizer():
     return Tokenizer.from_file(vocabulary())
 
 
+@functools.cache
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary())
+
+
 def ids_of(tokenizer, text):
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
 
@@ -98,3 +106,19 @@ def test_a_third_of_all_pieces_of_one_length(spark):
     df = spark.createDataFrame([(k, "" if k % 3 else "word " * (k % 90)) for k in range(3000)], "doc_id long, text string")
     rows = packing.pack(packing.pieces(df, vocabulary(), 64), 64).collect()
     assert len(rows) >= 3000 and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=80))
+def test_ids_are_those_of_the_tokenizers_library(text):
+    """Any Unicode: the splitter's pattern and the merges give what the library gives."""
+    text = text.encode("utf-8", "replace").decode("utf-8")
+    assert packing.encoder(vocabulary())(text).tolist() == library().encode(text, add_special_tokens=False).ids
+
+
+def test_ids_over_all_kinds_of_characters():
+    rng = random.Random(12)
+    kinds = [(9, 14), (32, 127), (0xA0, 0x250), (0x370, 0x530), (0x600, 0x700), (0x900, 0x980), (0x2000, 0x2070), (0x2150, 0x2190), (0x3040, 0x3100), (0x4E00, 0x4F00), (0x1F600, 0x1F650), (0xFE00, 0xFE10), (0x1D7CE, 0x1D800)]
+    for _ in range(4000):
+        text = "".join(chr(rng.randrange(*rng.choice(kinds))) for _ in range(rng.randrange(30)))
+        assert packing.encoder(vocabulary())(text).tolist() == library().encode(text, add_special_tokens=False).ids

@@ -122,3 +122,15 @@ def test_edge_cases_in_each_stage(spark, sample, nasty, empty):
             assert n == 0 if df is empty else True
             if name != "packing":
                 assert out.columns == df.columns
+
+
+def test_run_removes_what_its_stages_stored(spark, sample):
+    from pathlib import Path
+
+    from voxframe.llm.scratch import root
+
+    at = Path(root(spark).removeprefix("file:")) / "tables"
+    before = {p.name for p in at.iterdir()} if at.exists() else set()
+    n = P.run(spark, sample).count()
+    left = sorted(p.name.rsplit("-", 1)[0] for p in at.iterdir() if p.name not in before)
+    assert n > 0 and left == ["mixing", "pack-counts", "pack-pieces"]

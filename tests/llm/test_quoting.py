@@ -25,6 +25,11 @@ MESSAGES = [
     (4, 1, "user", "a"),
     (4, 2, "user", "> a\nb"),
     (5, 0, "x", "> self\nself"),
+    (8, 0, "user", "First part\nof a letter\n\nA paragraph that is\nwrapped here\n \t\nand an end"),
+    (8, 1, "user", "other words"),
+    (8, 2, "user", "> A paragraph\n> that is wrapped\n> here\nquite so"),
+    (8, 3, "user", "> other\n> words\n>\n> unknown\nboth"),
+    (8, 4, "user", "> First part of\n> a letter\n>\n>   \n> A paragraph that\n> is wrapped here\ntwo of them"),
     *[(6, k, "user", f"message {k}" if k == 0 else f"> message {k - 1}\nmessage {k}") for k in range(20)],
 ]
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -71,3 +76,8 @@ def test_edge_cases(spark):
     df = spark.createDataFrame([(*m, "x", 1) for m in MESSAGES] + [(7, 0, "user", "word " * 100_000, "x", 1)], SCHEMA + ", thread string, own int")
     assert quoting.linked(df).count() == len(MESSAGES) + 1
     assert quoting.linked(df.where("1 = 0")).count() == 0
+
+
+def test_paragraphs_link_however_they_are_wrapped(linked):
+    assert [one(linked, 8, k).reply_to for k in (2, 3, 4)] == [0, 1, 0]
+    assert [one(linked, 8, k).text for k in (2, 3, 4)] == ["quite so", "both", "two of them"]

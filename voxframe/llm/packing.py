@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxframe.llm.arrow import slices
-from voxframe.llm.scratch import stored
+from voxframe.llm.scratch import partitions, stored
 
 LIMIT, END_ID, BLOCKS = 2048, 0, 512
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -184,8 +184,10 @@ def places(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.nd
     return {n: np.array(rows, dtype=np.int64) for n, rows in out.items()}
 
 
-def pack(cut: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS) -> DataFrame:
-    """cut: pieces(), stored; adds sequence_id and offset."""
+def pack(cut: DataFrame, limit: int = LIMIT, blocks: int | None = None) -> DataFrame:
+    """cut: pieces(), stored; adds sequence_id and offset. A length is ranked in blocks, BLOCKS or as many as there are shuffle
+    partitions, whichever is more, so that the commonest length is spread over all tasks."""
+    blocks = blocks or max(BLOCKS, partitions(cut.sparkSession))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
     tally = stored(cut.groupBy("length", "block").agg(F.count("*").alias("n")), "pack-counts")
     counts = {int(r.length): int(r.n) for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most limit rows

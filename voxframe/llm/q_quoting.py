@@ -29,8 +29,8 @@ owned as (select m, regexp_replace(regexp_replace(coalesce(string_agg(body, chr(
 held as (select g.m, g.conv_id, g.turn, g.role, coalesce(o.own, '') as own from messages g left join owned o on g.m = o.m),
 runs as (select *, sum(fresh) over (partition by m order by i) as q from (select *, case when lag(depth) over (partition by m order by i) = depth and lag(i) over (partition by m order by i) = i - 1 then 0 else 1 end as fresh from cited where depth > 0)),
 quotes as (select m, conv_id, turn, q, any_value(depth) as depth, string_agg(body, chr(10) order by i) as body from runs group by m, conv_id, turn, q),
-asked as (select m, conv_id, turn, q, depth, 0 as rank, {digest('body')} as key from quotes union all select m, conv_id, turn, q, depth, 1, {digest('body')} from runs),
-offered as (select conv_id, turn as origin, {digest('own')} as key from held union all select conv_id, turn, {digest('l')} from (select conv_id, turn, unnest(string_split(own, chr(10))) as l from held)),
+asked as (select m, conv_id, turn, q, depth, 0 as rank, {digest('body')} as key from quotes union all select m, conv_id, turn, q, depth, 1, {digest('p')} from (select *, unnest(string_split_regex(body, '\n[\x20\t]*\n')) as p from quotes) union all select m, conv_id, turn, q, depth, 2, {digest('body')} from runs),
+offered as (select conv_id, turn as origin, {digest('own')} as key from held union all select conv_id, turn, {digest('l')} from (select conv_id, turn, unnest(string_split(own, chr(10))) as l from held) union all select conv_id, turn, {digest('p')} from (select conv_id, turn, unnest(string_split_regex(own, '\n[\x20\t]*\n')) as p from held)),
 firsts as (select conv_id, key, min(origin) as origin from offered where key is not null group by conv_id, key),
 found as (select a.conv_id, a.turn, a.q, a.depth, min((a.rank, -f.origin)) as best from asked a join firsts f on a.conv_id = f.conv_id and a.key = f.key and f.origin < a.turn group by all),
 links as (select conv_id, turn, -(min((depth, best[2]))[2]) as reply_to, count(*) as n_linked from found group by conv_id, turn),

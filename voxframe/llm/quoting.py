@@ -3,7 +3,9 @@
 A line that begins with ``>`` marks, at any depth, is quoted; an attribution line right before a quotation (one that ends in
 a colon after a word such as "wrote") belongs to it. Runs of quoted lines of equal depth are passages. A passage is
 normalised (lower case, white space and marks collapsed) and hashed, and joined within its conversation to the original
-messages: to the earliest message whose own words, whole or one of whose lines, are the passage, or else one of its lines.
+messages: to the earliest message whose own words, as a whole, one of its paragraphs or one of its lines, are the passage, or
+else one of the passage's paragraphs, or else one of its lines. Paragraphs are parted by blank lines, so that a paragraph
+links however its lines are broken.
 A message answers the latest message that its shallowest linked passages quote. Threads follow the answers to their roots by
 pointer doubling, and conversations come out in reply order: sorted by conversation, thread and turn, each message without
 its quotations.
@@ -23,6 +25,7 @@ from voxframe.llm.linededup import bind
 from voxframe.llm.scratch import stored
 
 MARKS = r"^[\x20\t]*>(?:[\x20\t]*>)*[\x20\t]?"
+PARAGRAPH = r"\n[\x20\t]*\n"
 ATTRIBUTION = r"(?i)(?:wrote|writes|said|schrieb|escribió|écrit|a écrit)[\x20\t]*:[\x20\t]*$"
 
 
@@ -47,6 +50,11 @@ def digest(text: Column) -> Column:
     return bind(normal(text), lambda t: F.when(t != "", F.md5(t)))
 
 
+def units_of(text: Column) -> tuple[Column, Column, Column]:
+    """What can be quoted of a text, or found of a quotation: the whole, its paragraphs, its lines."""
+    return F.array(text), F.split(text, PARAGRAPH), F.split(text, "\n")
+
+
 def passages(parsed: Column) -> Column:
     """array of (depth, body): runs of quoted lines of one depth, deeper lines within a run aside."""
     quoted = F.filter(F.transform(parsed, lambda x, k: F.struct(k.alias("k"), x.depth.alias("depth"), x.body.alias("body"))), lambda x: x.depth > 0)
@@ -68,11 +76,12 @@ def links(messages: DataFrame) -> DataFrame:
     """parsed() -> conv_id, turn, reply_to, n_linked of the messages whose quotations are found in earlier ones."""
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     quoting = messages.where(known & F.col("quotes").isNotNull()).select("conv_id", "turn", F.posexplode("quotes").alias("q", "quote"))
-    keys = F.array_compact(F.concat(F.array(F.struct(F.lit(0).alias("rank"), digest(F.col("quote.body")).alias("key"))), F.transform(F.split("quote.body", "\n"), lambda x: F.struct(F.lit(1).alias("rank"), digest(x).alias("key")))))
+    ranked = lambda rank, units: F.transform(units, lambda x: F.struct(F.lit(rank).alias("rank"), digest(x).alias("key")))
+    keys = F.concat(*(ranked(rank, units) for rank, units in enumerate(units_of(F.col("quote.body")))))
     asked = quoting.select("conv_id", "turn", "q", F.col("quote.depth").alias("depth"), F.explode(keys).alias("x")).select("conv_id", "turn", "q", "depth", "x.rank", "x.key").where("key is not null")
     conversations = asked.select("conv_id").distinct()
     originals = messages.where(known).join(conversations, "conv_id", "left_semi")
-    offered = originals.select("conv_id", F.col("turn").alias("origin"), F.explode(F.array_distinct(F.concat(F.array(digest(F.col("own"))), F.transform(F.split("own", "\n"), digest)))).alias("key")).where("key is not null")
+    offered = originals.select("conv_id", F.col("turn").alias("origin"), F.explode(F.array_distinct(F.transform(F.concat(*units_of(F.col("own"))), digest))).alias("key")).where("key is not null")
     # of the many messages that may hold a text only the first counts, so the join has one row a quotation
     firsts = stored(offered.groupBy("conv_id", "key").agg(F.min("origin").alias("origin")), "quoting-originals")
     found = asked.join(firsts, ["conv_id", "key"]).where("origin < turn")

@@ -23,14 +23,39 @@ def root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+class Owner:
+    """Knows the tables that are stored while it is entered, and can remove them once nothing reads them any more."""
+
+    _all: list[Owner] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Owner:
+        Owner._all.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Owner._all.remove(self)
+
+    def remove(self, keep: Iterable[str] = ()) -> None:
+        held = set(keep)
+        for path in [p for p in self.paths if p not in held]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self.paths.remove(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: its lineage ends there, lost executors reread files.
 
-    Empty schemas apart, any DataFrame works. The folder is unique per call; it stays until the owner of
-    spark.checkpoint.dir removes it, because the returned DataFrame is lazy and reads it later.
+    Empty schemas apart, any DataFrame works. The folder is unique per call; an Owner that is entered can remove it. Otherwise
+    it stays until the owner of spark.checkpoint.dir removes it, because the returned DataFrame is lazy and reads it later.
     """
     spark = df.sparkSession
     path = f"{root(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    for owner in Owner._all:
+        owner.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
