@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxframe.llm import linededup, mixing, neardup, packing, quality
 from voxframe.llm.q_packing import vocabulary
-from voxframe.llm.scratch import own, stored
+from voxframe.llm.scratch import Owner, own, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over sf_dir's documents; each stage's result is stored and read again."""
+    """The rows of the last stage over sf_dir's documents; each stage's result is stored and read again. What a stage stored
+    on its way goes when its result is stored, and that goes when the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: Owner | None = None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with Owner(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made.remove(keep=made.paths[-1:])
+        if before is not None:
+            before.remove()
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)
