@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxframe.llm.arrow import slices
-from voxframe.llm.scratch import partitions, stored
+from voxframe.llm.scratch import partitions
 
 LIMIT, END_ID, BLOCKS = 2048, 0, 512
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -189,7 +189,7 @@ def pack(cut: DataFrame, limit: int = LIMIT, blocks: int | None = None) -> DataF
     partitions, whichever is more, so that the commonest length is spread over all tasks."""
     blocks = blocks or max(BLOCKS, partitions(cut.sparkSession))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
-    tally = stored(cut.groupBy("length", "block").agg(F.count("*").alias("n")), "pack-counts")
+    tally = cut.groupBy("length", "block").agg(F.count("*").alias("n"))
     counts = {int(r.length): int(r.n) for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most limit rows
     where = places(plan(counts, limit))
     before = tally.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).drop("n")
