@@ -54,7 +54,7 @@ WORDS = [
 WORD_BITS = {w: 20 + k for k, line in enumerate(WORDS) for w in line.split()}
 BITS = 30
 HOLDERS = {t: k for k, g in enumerate(["h1 h2 h3 h4 h5 h6", "p", "li dt dd", "td th caption", "div section article main body html", "blockquote pre", "button label option legend summary"]) for t in g.split()}
-HINTS = re.compile(r"cookie|privacy|subscri|newsletter|log ?in|sign ?(?:in|up)|comment|advert|sponsor|copyright|all rights|share|follow us|©", re.IGNORECASE)
+HINTS = re.compile(r"cookie|privacy|subscri|newsletter|log ?in|sign ?(?:in|up)|comment|advert|sponsor|copyright|all rights|share|follow us|©")  # in lower case
 
 #: One such word in so many characters counts in full, in more in proportion.
 HINT_CHARS = 60
@@ -201,7 +201,7 @@ def features(found: list[tuple[str, int, int, float]], lengths: list[int]) -> np
             [b[3] for b in found],
             [b[3] > 0.6 for b in found],
             [b[0][-1] in ".!?…:;\"'»”" for b in found],
-            [min(1.0, HINT_CHARS * sum(1 for _ in HINTS.finditer(b[0])) / len(b[0])) for b in found],
+            [min(1.0, HINT_CHARS * sum(1 for _ in HINTS.finditer(b[0].lower())) / len(b[0])) for b in found],
             np.concatenate([np.arange(k) / max(k, 1) for k in lengths]),
             mask == 0,
         ]
