@@ -105,3 +105,14 @@ def test_what_is_left_of_a_run_beside_base_spans(spark):
     code = "0123456789abcdef" * 2
     texts = [f"prefix-{code}-{key} end", f"{key}-{code}", f"{key}/{code}/{key}", f"password={key} x", f"name_of_a_file_list-{code}"]
     assert added(spark, texts) == {0: ["-" + key], 1: [key + "-"], 2: [key + "/", "/" + key], 3: [], 4: []}
+
+
+def test_a_secret_in_a_path_or_behind_a_name_is_found(spark):
+    rng, a = random.Random(31), secrets.ALPHABET
+    before = ["https://host/path/to/resource/download/", "docs/readme/files/section/", "client_configuration_value=", "/usr/local/share/"]
+    keys = [("".join(rng.choice(a[:62]) for _ in range(n))) for n in (16, 20, 24, 32) for _ in range(60)]
+    texts = [f"see {before[k % 4]}{key}{('/index', '')[k % 2]} here" for k, key in enumerate(keys)]
+    got = added(spark, texts)
+    assert sum(any(key in x for x in got[k]) for k, key in enumerate(keys)) / len(keys) > 0.98
+    plain = ["https://www.example.org/international/characteristics/of-the-environment/index", "/home/user/extraordinary/responsibility_2024/", "title=misunderstanding=configuration", "=" * 40 + "/" * 20]
+    assert not any(added(spark, plain).values())

@@ -4,8 +4,10 @@ ordinary identifiers.
 Two character Markov models of one order are trained from labelled samples (label 1: random secrets, 0: ordinary
 identifiers and words); a candidate run is reported if its mean log-likelihood ratio per character exceeds a threshold found
 on the samples held out, one for runs under LONG characters and one for the others. Every run from SHORT characters is a
-candidate, and of a run that fixed patterns match in part, each piece left of it. Spans count code points, ends exclusive. Edge cases: null and empty texts have no spans; texts of any
-length are scanned whole; repeated rows give repeated results.
+candidate, and of a run that fixed patterns match in part, each piece left of it. A random string may stand in a path or
+behind a name, whose ordinary words outweigh it in the mean of the whole run: of a candidate that is not over the threshold,
+each piece between slashes and equals signs that is long enough is one. Spans count code points, ends exclusive. Edge cases:
+null and empty texts have no spans; texts of any length are scanned whole; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 SHORT, LONG = 16, 20
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORT},}}", re.ASCII)
+PIECE = re.compile(rf"[^/=]{{{SHORT},}}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CODE = np.full(128, len(ALPHABET), dtype=np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -89,6 +92,13 @@ class Models:
     def secret(self, run: str) -> bool:
         return self.score(run) > (self.threshold if len(run) >= LONG else self.short)
 
+    def within(self, text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+        """The candidate text[start:end] if it is a secret, or else those of its pieces that are."""
+        run = text[start:end]
+        if self.secret(run):
+            return [("markov", start, end)]
+        return [("markov", start + m.start(), start + m.end()) for m in PIECE.finditer(run) if len(m[0]) < len(run) and self.secret(m[0])]
+
     def score(self, run: str) -> float:
         code = CODE[np.frombuffer(run.encode("ascii"), dtype=np.uint8)]
         return float(self.ratio[np.concatenate([[len(ALPHABET)], code[:-1]]), code].mean())
@@ -121,20 +131,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def model_spans(text: str, models: Models, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Candidate runs over the threshold that no span in taken overlaps: the furthest end of those that begin before a
-    run ends decides, and is carried on from run to run."""
+    """Of the candidate runs that no span in taken overlaps those over the threshold, or their pieces: the furthest end of
+    the spans that begin before a run ends decides, and is carried on from run to run."""
     out, ahead, k, reach = [], sorted((s, e) for _, s, e in taken), 0, 0
     for m in RUN.finditer(text):
         while k < len(ahead) and ahead[k][0] < m.end():
             reach = max(reach, ahead[k][1])
             k += 1
-        if reach <= m.start() and models.secret(m[0]):
-            out.append(("markov", *m.span()))
+        if reach <= m.start():
+            out += models.within(text, *m.span())
     return out
 
 
 def rest_spans(text: str, models: Models, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Of the runs that spans in taken overlap, the pieces outside them that are long enough and over the threshold."""
+    """Of the runs that spans in taken overlap, what lies outside them, long enough and over the threshold, or its pieces."""
     joined: list[list[int]] = []
     for s, e in sorted((s, e) for _, s, e in taken):
         if joined and s <= joined[-1][1]:
@@ -151,7 +161,7 @@ def rest_spans(text: str, models: Models, taken: list[tuple[str, int, int]]) ->
             at, j = joined[j][1], j + 1
         if j > k:
             out.append((at, m.end()))
-    return [("markov", a, b) for a, b in out if b - a >= SHORT and models.secret(text[a:b])]
+    return [span for a, b in out if b - a >= SHORT for span in models.within(text, a, b)]
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
