@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -162,3 +163,11 @@ def test_a_word_of_the_site_in_a_long_paragraph_does_not_lose_it():
         body = " ".join([P1, P2] * n) + " The council asked for comments and would share the answers."
         found = X.blocks(f"<body><article><h1>Harbour news</h1><p>{body}</p><p>{P2}</p></article></body>")
         assert model.decode(X.features(found, [len(found)]), np.array([len(found)])).tolist() == [1, 1, 1]
+
+
+def test_deep_pages_take_time_in_proportion_to_their_length():
+    n = 60_000  # searching the open elements for each end tag would take minutes
+    for page in ("<div>" * n + "</section>x" * n, "<div>" * n + "<svg>" + "</section>" * n, "<td><table>" + "<div>" * n + "<td></td>x" * n):
+        begin = time.monotonic()
+        X.blocks(page)
+        assert time.monotonic() - begin < 20

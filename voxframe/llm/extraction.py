@@ -14,7 +14,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -92,7 +92,7 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
     """(text, bits of the ancestors, kind of the innermost block tag, share of link text) of the leaf blocks in order."""
     out: list[tuple[str, int, int, float]] = []
     stack: list[tuple[str, int]] = [("", 0)]
-    inner: list[int] = [len(HOLDERS)]
+    opened: dict[str, list[int]] = defaultdict(list)  # places of each tag on the stack: no search of deep trees
     now = Block(0, 7)
     link = 0
 
@@ -104,9 +104,19 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
         tag, mask = stack[-1]
         now = Block(mask, HOLDERS.get(tag, 7))
 
+    def push(tag: str, mask: int) -> None:
+        opened[tag].append(len(stack))
+        stack.append((tag, mask))
+
     def pop_to(k: int) -> None:
+        for tag, _ in stack[k:]:
+            opened[tag].pop()
         del stack[k:]
 
+    def innermost(tags: set[str]) -> int:
+        """The place of the last of these that is open; 0: none."""
+        return max((opened[t][-1] for t in tags if opened[t]), default=0)
+
     at, end, last = 0, len(page), page.rfind(">")
     # the open element of HIDING, where its content begins and what is open in it; those that nothing ends
     hide, begin, within, endless = "", 0, Counter(), set()
@@ -133,7 +143,7 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
             continue
         closing, tag, attributes = m[1] or m[4], name.lower(), m[3] or m[6] or ""
         if hide and (tag not in RAW or closing or (hide, tag) == ("svg", "title")):
-            if tag in BLOCK and (within[tag] == 0 and any(s[0] == tag for s in stack) if closing else hide == "svg" and not within["foreignobject"] and not within["desc"]):
+            if tag in BLOCK and (within[tag] == 0 and opened[tag] if closing else hide == "svg" and not within["foreignobject"] and not within["desc"]):
                 hide = ""
             elif closing and tag == hide:
                 hide = ""
@@ -155,7 +165,7 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
                 hide, begin, within = tag, at, Counter()
         elif tag in BLOCK:
             if closing:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+                k = innermost({tag})
                 flush()
                 if k:
                     pop_to(k)
@@ -169,17 +179,18 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
                     pop_to(k)
             if tag in CLOSES:
                 shut, bound = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in shut:
-                        pop_to(k)
-                        if tag != "tr":
-                            break
-                    elif stack[k][0] in bound:
+                edge = innermost(bound)
+                while (k := innermost(shut)) > edge:
+                    pop_to(k)
+                    if tag != "tr":
                         break
-            if tag == "body":
-                stack = [s for s in stack if s[0] != "head"]
+            if tag == "body" and opened["head"]:
+                held = [s for s in stack[1:] if s[0] != "head"]
+                pop_to(1)
+                for s in held:
+                    push(*s)
             if tag not in VOID:
-                stack.append((tag, stack[-1][1] | _bits(tag, attributes)))
+                push(tag, stack[-1][1] | _bits(tag, attributes))
             link = 0
             now = Block(stack[-1][1], HOLDERS.get(stack[-1][0], 7))
     flush()
