@@ -1,6 +1,10 @@
+import random
+import re
+
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from voxframe.llm import quoting
 from voxframe.llm.q_quoting import op5_quoting, sql
@@ -81,3 +85,30 @@ def test_edge_cases(spark):
 def test_paragraphs_link_however_they_are_wrapped(linked):
     assert [one(linked, 8, k).reply_to for k in (2, 3, 4)] == [0, 1, 0]
     assert [one(linked, 8, k).text for k in (2, 3, 4)] == ["quite so", "both", "two of them"]
+
+
+def plain_own(text):
+    """The own text by patterns that repeat groups, which Python can at this length."""
+    lines = []
+    for line in re.sub("\r\n?", "\n", text).split("\n"):
+        marks = re.match(r"[\x20\t]*>(?:[\x20\t]*>)*[\x20\t]?", line)
+        lines.append((bool(marks), line[marks.end() :] if marks else line))
+    cited = [quoted or (lines[k + 1][0] if k + 1 < len(lines) else False) and bool(re.search(quoting.ATTRIBUTION.removesuffix("$") + r"\Z", body)) for k, (quoted, body) in enumerate(lines)]
+    own = re.sub(r"\n(?:[\x20\t]*\n){2,}", "\n\n", "\n".join(body for (_, body), gone in zip(lines, cited) if not gone))
+    return re.sub(r"\A(?:[\x20\t]*\n)+|(?:\n[\x20\t]*)+\Z", "", own)
+
+
+def test_own_text_against_patterns(spark):
+    rng = random.Random(1)
+    parts = ["\n", "\n", "\n\n", " ", "\t", "a", "b", "x", "> ", ">", "wrote:", "\r\n", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(2000)] + [" ", "\n", "wrote: \n> q", "A ÉCRIT :\n> q", "x wrote: \n> q"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", quoting.own_text(quoting.lines(F.col("text"))).alias("own")).collect()
+    assert [(texts[r.k], r.own) for r in got if r.own != plain_own(texts[r.k])] == []
+
+
+def test_long_runs_of_blank_lines_and_marks(spark):
+    n = 20_000  # repeated groups of a pattern would exhaust the stack of the JVM, which ends with it
+    texts = ["a line", "a\n" + " \t\n" * n + "b" + "\n " * n, ">" * n + " a line\ny", "> " * n + "a line\ny", "> a line\n\nz\n" * n]
+    got = {r.turn: r for r in quoting.linked(spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[k].text for k in range(4)] == ["a line", "a\n\nb", "y", "y"] and got[4].text == "\n\n".join(["z"] * n)
+    assert [got[k].reply_to for k in range(5)] == [None, None, 0, 0, 0] and got[4].n_quotes == got[4].n_linked == n

@@ -24,21 +24,36 @@ from pyspark.sql import functions as F
 from voxframe.llm.linededup import bind
 from voxframe.llm.scratch import stored
 
-MARKS = r"^[\x20\t]*>(?:[\x20\t]*>)*[\x20\t]?"
+# Java repeats groups by recursion, so long runs would exhaust the stack of an executor: only single characters repeat here
+MARKS = r"^[\x20\t>]*>[\x20\t]?"
 PARAGRAPH = r"\n[\x20\t]*\n"
 ATTRIBUTION = r"(?i)(?:wrote|writes|said|schrieb|escribió|écrit|a écrit)[\x20\t]*:[\x20\t]*$"
 
 
+def _to_the_end(pattern: str) -> str:
+    """pattern with its last $ for the very end, in Unicode case: alone, Java's also matches before a last line separator."""
+    return pattern.replace("(?i)", "(?iu)").removesuffix("$") + r"\z"
+
+
 def lines(text: Column) -> Column:
     """array of (depth, body, cited): depth 0 and cited false are the message's own lines."""
     parsed = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1), lambda line: bind(F.regexp_extract(line, MARKS, 0), lambda m: F.struct(F.length(F.regexp_replace(m, "[^>]", "")).alias("depth"), F.substring(line, F.length(m) + 1, F.length(line)).alias("body"))))
-    return F.when(text.isNotNull(), bind(parsed, lambda a: F.transform(a, lambda x, k: F.struct(x.depth.alias("depth"), x.body.alias("body"), ((x.depth > 0) | (F.coalesce(F.get(a, k + 1).depth > 0, F.lit(False)) & x.body.rlike(ATTRIBUTION))).alias("cited")))))
+    return F.when(text.isNotNull(), bind(parsed, lambda a: F.transform(a, lambda x, k: F.struct(x.depth.alias("depth"), x.body.alias("body"), ((x.depth > 0) | (F.coalesce(F.get(a, k + 1).depth > 0, F.lit(False)) & x.body.rlike(_to_the_end(ATTRIBUTION)))).alias("cited")))))
 
 
 def own_text(parsed: Column) -> Column:
     """The uncited lines; blank lines at both ends, and all but one of several in a row, go with the quotations."""
-    kept = F.array_join(F.transform(F.filter(parsed, lambda x: ~x.cited), lambda x: x.body), "\n")
-    return F.regexp_replace(F.regexp_replace(kept, r"\n(?:[\x20\t]*\n){2,}", "\n\n"), r"^(?:[\x20\t]*\n)+|(?:\n[\x20\t]*)+$", "")
+
+    def joined(body: Column) -> Column:
+        def kept(blank: Column, end: Column) -> Column:
+            parts = lambda x, k: F.when(~F.get(blank, k), x).when((k > 0) & (k < end) & ~F.get(blank, k - 1), F.when(F.get(blank, k + 1), F.lit("")).otherwise(x))
+            some = F.array_join(F.filter(F.transform(body, parts), lambda x: x.isNotNull()), "\n")
+            return F.when(F.exists(blank, lambda x: ~x), some).otherwise(F.coalesce(F.get(body, F.size(body) - 1), F.lit("")))
+
+        last = lambda blank: F.size(blank) - F.array_position(F.reverse(blank), False)  # noqa: E731  place of the last line that is not blank
+        return bind(F.transform(body, lambda x: F.translate(x, " \t", "") == ""), lambda blank: bind(last(blank), lambda end: kept(blank, end)))
+
+    return F.when(parsed.isNotNull(), bind(F.transform(F.filter(parsed, lambda x: ~x.cited), lambda x: x.body), joined))
 
 
 def normal(text: Column) -> Column:
