@@ -76,3 +76,11 @@ def test_columns_named_like_the_operators_own_keep_their_values(spark):
     out = L.dedup(docs)
     assert out.columns == [*docs.columns, "chunks_removed_1", "lines_removed_1"] and all(out.where(f"`{n}` = 7").count() == 3 for n in names)
     assert [r.chunks_removed_1 > 0 for r in out.orderBy("doc_id").collect()] == [False, True, True]
+
+
+def test_without_leaves_what_lies_between(spark):
+    rng = random.Random(4)
+    rows = [(n, sorted(rng.sample(range(n), rng.randint(0, n)))) for n in (0, 1, 2, 5, 9, 30) for _ in range(8)]
+    df = spark.createDataFrame([(k, list(range(n)), gone) for k, (n, gone) in enumerate(rows)], "k int, parts array<int>, gone array<int>")
+    got = {r.k: r.left for r in df.select("k", L.without(F.col("parts"), F.col("gone")).alias("left")).collect()}
+    assert [got[k] for k in range(len(rows))] == [[x for x in range(n) if x not in gone] for n, gone in rows]

@@ -75,6 +75,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("k")).alias("gone"))  # one document's chunks
 
 
+def without(parts: Column, gone: Column) -> Column:
+    """parts but for the places in gone, which ascend: the stretches between them, so that no part looks through gone."""
+    after = lambda i: F.coalesce(F.get(gone, i - 1) + 1, F.lit(0))
+    between = F.transform(gone, lambda k, i: F.slice(parts, after(i) + 1, k - after(i)))
+    return F.concat(F.flatten(between), F.slice(parts, after(F.size(gone)) + 1, F.size(parts)))
+
+
 def dedup(docs: DataFrame, counts: tuple[str, str] = ("chunks_removed", "lines_removed")) -> DataFrame:
     """docs with the repeated chunks cut from text, and behind its columns the numbers of chunks and lines removed, named as
     counts says; a number stands behind a name that docs has already."""
@@ -83,8 +90,8 @@ def dedup(docs: DataFrame, counts: tuple[str, str] = ("chunks_removed", "lines_r
     found = repeated(docs.select("doc_id", "text")).select(F.col("doc_id").alias(ident), F.col("key").alias(key), F.col("gone").alias(gone))
     both = docs.join(found, (F.col("doc_id") == F.col(ident)) & (text_key(F.col("text")) == F.col(key)), "left")
     split = F.when(F.col(gone).isNotNull(), bind(chunks(F.col("text")), lambda all_: F.struct(
-        F.array_join(F.transform(F.filter(all_, lambda c: ~F.array_contains(F.col(gone), c.k)), lambda c: c.text), "\n").alias("text"),
-        F.aggregate(F.filter(all_, lambda c: F.array_contains(F.col(gone), c.k)), F.lit(0), lambda n, c: n + c.lines).alias("lines"),
+        F.array_join(F.transform(without(all_, F.col(gone)), lambda c: c.text), "\n").alias("text"),
+        F.aggregate(F.col(gone), F.lit(0), lambda n, k: n + F.get(all_, k).lines).alias("lines"),
     )))
     both = both.withColumn(new, split)
     left = [F.when(F.col(gone).isNotNull(), F.col(new).text).otherwise(F.col("text")).alias("text") if name == "text" else c for name, c in zip(docs.columns, own(docs))]
