@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxframe.operators.spread import spread
+
 # fixed values: states in order, and the default model
 STATES = ("SIL", "A", "B", "OVL", "LEAK")
 SWITCH, SIL_EXIT, SIL_ENTER, LEAK_TO_SIL, LEAK_TO_OVL, HIGH_RECALL_SCALE = -3.0, -1.0, -0.5, -0.5, -5.0, 3.0
@@ -117,7 +119,7 @@ def viterbi(scores: list[np.ndarray], m: Model) -> list[np.ndarray]:
     return [out[a : a + n] for a, n in zip(begin, lengths)]
 
 
-def _recordings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def recordings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each recording, which lie side by side; a null id is one recording."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -150,7 +152,7 @@ def decode_all(scores: DataFrame, models: dict[int, Model]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size = 0
-        for one in _recordings(batches):
+        for one in recordings(batches):
             held.append(one)
             size += one.num_rows
             if size >= BATCH_FRAMES:
@@ -159,7 +161,8 @@ def decode_all(scores: DataFrame, models: dict[int, Model]) -> DataFrame:
         if held:
             yield from solve(held)
 
-    dealt = scores.select("rec", F.col("frame").cast("long").alias("frame"), *(F.col(c).cast("double").alias(c) for c in ("s_sil", "s_a", "s_b", "s_ovl", "s_leak"))).repartition("rec").sortWithinPartitions("rec", "frame")
+    dealt = scores.select("rec", F.col("frame").cast("long").alias("frame"), *(F.col(c).cast("double").alias(c) for c in ("s_sil", "s_a", "s_b", "s_ovl", "s_leak")))
+    dealt = spread(dealt, "rec", always=True).sortWithinPartitions("rec", "frame")
     return dealt.mapInArrow(run, f"candidate int, rec {kind.simpleString()}, frame long, state string")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxframe.operators.spread import spread
+
 HOLD = 16
 
 
@@ -13,15 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _held(spark: SparkSession, sf_dir: str, columns: dict[str, Column]) -> DataFrame:
+    """Each supplier's line items in order, with the columns of the first of each HOLD. One sort serves both windows."""
     order = W.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax")
-    return items.withColumn("rec", F.col("l_suppkey")).withColumn("frame", (F.row_number().over(order) - 1).cast("long"))
-
-
-def _held(spark: SparkSession, sf_dir: str, columns: dict[str, Column]) -> DataFrame:
-    block = W.partitionBy("rec", F.floor(F.col("frame") / HOLD)).orderBy("frame")
-    return _ordered(spark, sf_dir).select("rec", "frame", *(F.first(c).over(block).alias(n) for n, c in columns.items()))
+    numbered = spread(items, "l_suppkey").withColumn("frame", (F.row_number().over(order) - 1).cast("long"))
+    first = F.when(F.col("frame") % HOLD == 0, F.struct(*(c.alias(n) for n, c in columns.items())))
+    held = numbered.withColumn("held", F.last(first, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return held.select(F.col("l_suppkey").alias("rec"), "frame", "held.*")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
