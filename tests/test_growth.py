@@ -11,7 +11,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["evaluate_paths"])
+@pytest.mark.parametrize("name", ["evaluate_paths", "evaluate_by_tier"])
 def test_paths_are_decoded_and_scored_in_one_pass(spark, sf_dir, name):
     text = plan(catalogue.QUERIES[name](spark, sf_dir))
     assert text.count("FileScan") == 1 and text.count("MapInArrow") == 2 and "Join" not in text
