@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from voxframe.operators import metrics, segments
+from voxframe.operators import fusion, metrics, segments, spread, tracks
 from voxframe.plans import catalogue
 
 
@@ -40,3 +40,41 @@ def test_scores_agree_with_each_metric_alone(spark):
         assert {c: got[k][c] for c in want} == pytest.approx(want)
         one = metrics.path_scores(metrics.side_by_side(r.selectExpr("rec", "0 as path", "frame", "state").unionByName(hyp.where(f"rec = {k}").selectExpr("rec", "1 as path", "frame", "state"))), least_s=0.03).first()
         assert one.micro_ipus_per_min == pytest.approx(want["micro_ipus_per_min"])
+
+
+def test_distinct_frames_are_counted_without_a_table_of_them(spark):
+    rows = [(1, "a", f) for f in (0, 0, 1, 63, 64, 200, -1, -64, None)] + [(1, "b", None), (2, "a", 0), (2, "a", 1)]
+    t = spark.createDataFrame(rows, "rec long, track string, frame long")
+    out = fusion.incomplete(t)
+    assert [tuple(r) for r in out.collect()] == [(1, 0, 7, 200)] and "distinct" not in plan(out)
+
+
+def test_frames_are_summed_before_they_meet_their_tracks(spark):
+    frames = spark.createDataFrame([(1, "a", f, v, 1.0) for f, v in ((0, 0.5), (1, 2.0), (1, float("nan")), (70, 0.1))] + [(1, "s", 0, 9.0, 2.0)], "rec long, track string, frame long, value double, confidence double")
+    dims = spark.createDataFrame([(1, "a", "probability", 0.01, 5), (1, "s", "score", 0.01, 1), (2, "a", "probability", 0.01, None)], "rec long, track string, semantics string, hop_s double, n_frames long")
+    out = tracks.violations(frames, dims)
+    assert sorted(map(tuple, out.collect())) == [(1, "a", "length", 2), (1, "a", "not_finite", 1), (1, "a", "probability_range", 2), (1, "s", "confidence_range", 1), (2, "a", "empty", 1)]
+    assert "distinct" not in plan(out)
+
+
+def test_blocks_of_all_tracks_are_not_sorted(spark, sf_dir):
+    assert "SortAggregate" not in plan(catalogue.QUERIES["resample_all_tracks"](spark, sf_dir))
+
+
+def test_bundles_merge_without_sorting_their_frames(spark, sf_dir):
+    assert "SortMergeJoin" not in plan(catalogue.QUERIES["bundle_merge"](spark, sf_dir))
+    t = spark.createDataFrame([(1, "a"), (1, None), (None, "a"), (2, "b")], "rec long, track string")
+    merged = tracks.merge_bundles(t, t.where("track = 'a'")).collect()
+    assert sorted(map(str, map(tuple, merged))) == sorted(map(str, [(1, "a"), (None, "a"), (1, None), (None, "a"), (2, "b")]))
+
+
+@pytest.mark.parametrize("name", ["canonical_down", "downsample_max", "downsample_mean"])
+def test_frames_take_one_sort(spark, sf_dir, name):
+    assert plan(catalogue.QUERIES[name](spark, sf_dir)).count(" Sort [") == 1
+
+
+def test_parts_follow_the_size_of_the_input(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    size = spread.input_bytes(items)
+    assert spread.spread(items, "l_suppkey", part_bytes=size // 50).rdd.getNumPartitions() in (50, 51)
+    assert spread.spread(items, "l_suppkey") is items

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.operators.spread import distinct_frames
+
 from voxframe.operators.decode import Tuning
 from voxframe.operators.signal import as_probability
 from voxframe.operators.tracks import wide
@@ -58,7 +60,7 @@ def fuse(frames: DataFrame, tuning: Tuning = Tuning(), logits: tuple[str, ...] =
 
 def incomplete(tracks: DataFrame) -> DataFrame:
     """Long table (rec, track, frame, ...) -> the recordings whose tracks do not all have the same frames."""
-    per = tracks.groupBy("rec", "track").agg(F.countDistinct("frame").alias("n"), F.max("frame").alias("last"))
+    per = distinct_frames(tracks, ["rec", "track"], F.max("frame").alias("last")).groupBy("rec", "track").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("last").alias("last"))
     return per.groupBy("rec").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("last").alias("last")).where("least != most or last + 1 != most")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of input files (Parquet) for one part.
 PART_BYTES = 6_000_000
@@ -24,3 +25,11 @@ def spread(rows: DataFrame, *keys: str, part_bytes: int = PART_BYTES, always: bo
     if parts > rows.sparkSession.sparkContext.defaultParallelism:
         return rows.repartition(parts, *keys)
     return rows.repartition(*keys) if always else rows
+
+
+def distinct_frames(rows: DataFrame, keys: list[str], *others: Column) -> DataFrame:
+    """keys, stretch, n and others: the number of distinct frames in each stretch of 64, as bits of one number, so that no
+    table of all frames is held. The sum of n over stretches is the number for keys; null frames count as none."""
+    at = F.col("frame").cast("long")
+    seen = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")))
+    return rows.groupBy(*keys, F.floor(at / 64).alias("stretch")).agg(F.bit_count(seen).cast("long").alias("n"), *others)
