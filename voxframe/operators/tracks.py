@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.operators.spread import distinct_frames
+
 SEMANTICS = ("probability", "logit", "score")
 SLACK = 1e-3
 #: Fixed values, as track files use these names: which tracks can stand for a name; the first that a recording has is taken.
@@ -22,18 +24,27 @@ ALIASES = {
 
 
 def violations(frames: DataFrame, tracks: DataFrame) -> DataFrame:
-    """rec, track, problem, n: what is wrong with tracks; no rows if nothing is. One aggregation over the frames."""
+    """rec, track, problem, n: what is wrong with tracks; no rows if nothing is. One pass over the frames."""
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
     value, conf = F.col("value"), F.col("confidence")
-    joined = tracks.join(frames, ["rec", "track"], "left")
     outside = lambda c: (c < -SLACK) | (c > 1 + SLACK)
-    has = F.col("frame").isNotNull()
-    per = joined.groupBy("rec", "track", "semantics", "hop_s", "n_frames").agg(
-        F.count_if(has & bad(value)).alias("not_finite"),
-        F.count_if(has & (F.col("semantics") == "probability") & outside(value)).alias("probability_range"),
-        F.count_if(conf.isNotNull() & (F.isnan(conf) | outside(conf))).alias("confidence_range"),
-        F.countDistinct("frame").alias("seen"),
-    )
+    counts = {
+        "not_finite": F.count_if(F.col("frame").isNotNull() & bad(value)),
+        "out": F.count_if(F.col("frame").isNotNull() & outside(value)),
+        "confidence_range": F.count_if(conf.isNotNull() & (F.isnan(conf) | outside(conf))),
+    }
+    # the frames are summed before they meet their tracks, by stretches and then by track
+    held = distinct_frames(frames, ["rec", "track"], *(c.alias(name) for name, c in counts.items()))
+    summed = held.groupBy("rec", "track").agg(*(F.sum(c).alias(c) for c in counts), F.sum("n").alias("seen"))
+    each = tracks.groupBy("rec", "track", "semantics", "hop_s", "n_frames").agg(F.count("*").alias("copies")).join(summed, ["rec", "track"], "left")
+    found = lambda c: F.coalesce(F.col(c), F.lit(0)) * F.col("copies")
+    per = each.select(
+        "rec", "track", "semantics", "hop_s", "n_frames",
+        found("not_finite").alias("not_finite"),
+        F.when(F.col("semantics") == "probability", found("out")).otherwise(F.lit(0)).alias("probability_range"),
+        found("confidence_range").alias("confidence_range"),
+        F.coalesce("seen", F.lit(0)).alias("seen"),
+    )
     base = per.groupBy("rec").agg(F.min("hop_s").alias("low"), F.max("hop_s").alias("high"))
     checked = per.join(base, "rec").withColumns({
         "semantics_unknown": (~F.col("semantics").isin(*SEMANTICS)).cast("long"),
