@@ -53,8 +53,9 @@ def to_canonical(frames: DataFrame, source: TimeBase, values: dict[str, str | No
 def resample_all(tracks: DataFrame, times: int, how: Column) -> DataFrame:
     """Long table (rec, track, frame, k, value, confidence) to a grid ``times`` coarser; ``how`` gives "mean" or "max" by
     row, from the track's name. Values and confidences use the same aggregate."""
-    pick = lambda c: F.when(F.first("rs__how") == "max", F.max(c)).otherwise(F.avg(c)).alias(c)
-    return tracks.withColumn("rs__how", how).groupBy("rec", "track", F.floor(F.col("frame") / times).alias("frame"), "k").agg(pick("value"), pick("confidence"))
+    # a boolean, unlike a name, leaves the groups in a hash table; a sort would take all rows
+    pick = lambda c: F.when(F.first("rs__max"), F.max(c)).otherwise(F.avg(c)).alias(c)
+    return tracks.withColumn("rs__max", how == "max").groupBy("rec", "track", F.floor(F.col("frame") / times).alias("frame"), "k").agg(pick("value"), pick("confidence"))
 
 
 def interpolate(samples: Column, n: int | Column) -> Column:
