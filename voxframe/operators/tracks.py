@@ -58,8 +58,10 @@ def violations(frames: DataFrame, tracks: DataFrame) -> DataFrame:
 
 def merge_bundles(base: DataFrame, override: DataFrame) -> DataFrame:
     """All tracks of both; where a recording's track is in both, that of override."""
-    taken = override.select("rec", "track").distinct()
-    return override.unionByName(base.join(taken, ["rec", "track"], "left_anti"))
+    # by rec alone, in which tables of frames are dealt already, and with the tracks of override, few a recording, as the table
+    # that is held: base is neither dealt again nor sorted
+    taken = override.groupBy(F.col("rec").alias("tr__rec")).agg(F.collect_set("track").alias("tr__tracks")).hint("shuffle_hash")
+    return override.unionByName(base.join(taken, (F.col("rec") == F.col("tr__rec")) & F.array_contains("tr__tracks", F.col("track")), "left_anti"))
 
 
 def by_alias(frames: DataFrame, aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
