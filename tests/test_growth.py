@@ -78,3 +78,10 @@ def test_parts_follow_the_size_of_the_input(spark, sf_dir):
     size = spread.input_bytes(items)
     assert spread.spread(items, "l_suppkey", part_bytes=size // 50).rdd.getNumPartitions() in (50, 51)
     assert spread.spread(items, "l_suppkey") is items
+
+
+def test_turns_are_dealt_by_their_number(spark, tmp_path):
+    """20,000 short turns of one text, which make a small file."""
+    spark.range(20_000).selectExpr("id div 5 as conv_id", "cast(id % 5 as int) as turn", "'user' as role", "'a b' as text").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert "REPARTITION_BY_NUM" in plan(catalogue.QUERIES["word_dedupe"](spark, str(tmp_path)))
+    assert catalogue.QUERIES["word_dedupe"](spark, str(tmp_path)).count() == 2 * 20_000  # the doubled ones are repeats

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from voxframe.operators.spread import spread
 
 HOLD = 16
+#: Conversation turns of one part; their words take some 30 kB each to sort.
+TURNS_A_PART = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +86,11 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("conv_id").orderBy("turn")
     dur = F.greatest(F.lit(0.1), F.length("text").cast("double") * F.lit(0.06))
     label = F.when(F.col("role") == "user", "A").when(F.col("role") == "assistant", "B").otherwise("SIL")
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", label.alias("label"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(dur, F.lit(0.1)).alias("dur"))
+    rows = table(spark, sf_dir, "conversations")
+    # parts by turns, as repeated texts are small in a file; the count reads footers only
+    parts = rows.count() // TURNS_A_PART
+    rows = rows.repartition(parts, "conv_id") if parts > spark.sparkContext.defaultParallelism else rows
+    t = rows.select("conv_id", "turn", label.alias("label"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(dur, F.lit(0.1)).alias("dur"))
     start = F.round(F.coalesce(F.sum("dur").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) + F.lit(0.25) * F.col("turn"), 4)
     return t.withColumn("start_time", start).select(F.col("conv_id").alias("rec"), "turn", "label", "start_time", F.round(F.col("start_time") + F.col("dur"), 4).alias("end_time"), "text")
 
