@@ -80,6 +80,17 @@ def test_parts_follow_the_size_of_the_input(spark, sf_dir):
     assert spread.spread(items, "l_suppkey") is items
 
 
+@pytest.mark.parametrize("name", ["evaluate_by_tier"])
+def test_frames_are_dealt_by_size_with_the_same_results(spark, sf_dir, monkeypatch, name):
+    query = lambda: catalogue.QUERIES[name](spark, sf_dir)
+    assert "REPARTITION_BY_NUM" not in plan(query())
+    want = sorted(map(str, query().collect()))
+    size = spread.input_bytes(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    monkeypatch.setitem(spread.spread.__kwdefaults__, "part_bytes", size // 7)
+    assert "REPARTITION_BY_NUM" in plan(query())
+    assert sorted(map(str, query().collect())) == want
+
+
 def test_turns_are_dealt_by_their_number(spark, tmp_path):
     """20,000 short turns of one text, which make a small file."""
     spark.range(20_000).selectExpr("id div 5 as conv_id", "cast(id % 5 as int) as turn", "'user' as role", "'a b' as text").write.parquet(f"{tmp_path}/conversations.parquet")
