@@ -80,7 +80,15 @@ def test_parts_follow_the_size_of_the_input(spark, sf_dir):
     assert spread.spread(items, "l_suppkey") is items
 
 
-@pytest.mark.parametrize("name", ["evaluate_by_tier"])
+@pytest.mark.parametrize(("size", "parts"), [(3_000_000, 1), (30_000_000, 5), (1_200_000_000, 200), (3_900_000_000, 200), (4_100_000_000, 684)])
+def test_parts_stay_few_enough_to_be_written_unsorted(spark, monkeypatch, size, parts):
+    """Over 200 parts a task holds the rows of its whole split as it writes them."""
+    monkeypatch.setattr(spread, "input_bytes", lambda rows: size)
+    rows = spark.range(5, numPartitions=1)
+    assert spread.spread(rows, "id").rdd.getNumPartitions() == parts
+
+
+@pytest.mark.parametrize("name", ["downsample_max", "evaluate_by_tier"])
 def test_frames_are_dealt_by_size_with_the_same_results(spark, sf_dir, monkeypatch, name):
     query = lambda: catalogue.QUERIES[name](spark, sf_dir)
     assert "REPARTITION_BY_NUM" not in plan(query())

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of input files (Parquet) for one part.
 PART_BYTES = 6_000_000
+#: Where more parts than spark.shuffle.sort.bypassMergeThreshold are due, a task gathers the rows of its whole split (128 MB of
+#: files, some 1.1 GB of rows) to sort them by part; parts are made larger, up to this size, if that avoids it.
+WIDE_BYTES = 20_000_000
 #: What a source without a size says of it is beyond this.
 UNKNOWN = 1 << 60
 
@@ -19,11 +22,14 @@ def input_bytes(rows: DataFrame) -> int:
 
 
 def spread(rows: DataFrame, *keys: str, part_bytes: int = PART_BYTES, always: bool = False) -> DataFrame:
-    """rows dealt by keys into parts of about part_bytes of input. Inputs of less than a part for each core are left as they
-    are, or, with always, dealt as Spark does by itself."""
-    parts = 0 if rows.isStreaming else -(-input_bytes(rows) // part_bytes)
-    if parts > rows.sparkSession.sparkContext.defaultParallelism:
-        return rows.repartition(parts, *keys)
+    """rows dealt by keys into parts of about part_bytes of input, up to WIDE_BYTES where tasks then need not sort rows by
+    part. Inputs of less than a part for each core are left as they are, or, with always, dealt as Spark does by itself."""
+    size, context = 0 if rows.isStreaming else input_bytes(rows), rows.sparkSession.sparkContext
+    parts, cores = -(-size // part_bytes), context.defaultParallelism
+    unsorted = int(context.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    if parts > cores:
+        fits = max(cores, -(-size // WIDE_BYTES)) <= unsorted
+        return rows.repartition(min(parts, unsorted) if fits else parts, *keys)
     return rows.repartition(*keys) if always else rows
 
 
