@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of input files (Parquet) for one part.
 PART_BYTES = 6_000_000
-#: Where more parts than spark.shuffle.sort.bypassMergeThreshold are due, a task gathers the rows of its whole split (128 MB of
-#: files, some 1.1 GB of rows) to sort them by part; parts are made larger, up to this size, if that avoids it.
+#: Where more parts than spark.shuffle.sort.bypassMergeThreshold are due, a task gathers the rows of its split (128 MB of files)
+#: to sort them by part, 1.1 GB as measured, and spills; parts are made larger, up to this size, if that avoids it.
 WIDE_BYTES = 20_000_000
 #: What a source without a size says of it is beyond this.
 UNKNOWN = 1 << 60
